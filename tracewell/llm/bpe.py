@@ -20,6 +20,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.llm.common import row_type
 
 #: Pre-tokens looked up at a time; texts are cut between pre-tokens.
 CHUNK_PRETOKENS = 16_384
@@ -144,8 +147,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
 
     ``path`` names the rank file on every executor. One pass over whole texts, no shuffle.
     """
-    fields = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{k}` {fields[k].dataType.simpleString()}" for k in keep), "ids array<bigint>", "decoded binary"])
+    if len(set(keep)) < len(keep) or set(keep) & {"ids", "decoded"}:
+        raise ValueError("keep must name different columns, none of them ids or decoded")
+    rows = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
         bpe = codec(path, pattern)
@@ -156,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
                 decoded = [bpe.decode(i.tolist()) for i in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64())), pa.array(decoded, pa.binary())], [*keep, "ids", "decoded"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, row_type(rows, list(keep), ids="array<bigint>", decoded="binary"))
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -175,5 +179,4 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, row_type(docs, ["doc_id"], n_tokens="bigint", ids_sha256="string", decoded_sha256="string"))

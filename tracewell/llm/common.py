@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Where local tests keep scratch tables when the session names no shared folder.
 _LOCAL: list[tempfile.TemporaryDirectory] = []
@@ -56,3 +57,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def row_type(df: DataFrame, columns: list[str] | None = None, **more: str) -> T.StructType:
+    """The type of rows that hold some columns of ``df`` (all by default) and then further ones, given as name=type."""
+    kept = [T.StructField(f.name, f.dataType) for f in df.schema.fields if columns is None or f.name in columns]
+    return T.StructType(kept + [T.StructField(n, T._parse_datatype_string(k)) for n, k in more.items()])

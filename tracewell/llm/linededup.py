@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Scratch
+from tracewell.llm.common import Scratch, row_type
 
 #: Keys of one filter, at most about.
 SHARD_KEYS = 200_000
@@ -272,10 +272,7 @@ class LineStore:
                         [*part.schema.names, "n_lines", "_at", "_whole"],
                     )
 
-        def schema(df: DataFrame, *more: str) -> str:
-            return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
-
-        seen = packed.mapInArrow(look, schema(packed, "n_lines bigint", "_at bigint", "_whole string"))
+        seen = packed.mapInArrow(look, row_type(packed, n_lines="bigint", _at="bigint", _whole="string"))
         both = seen.join(self.drops().withColumnRenamed("doc_id", "_at").hint("shuffle_hash"), "_at", "left").drop("_at")
 
         kept_columns = packed.columns
@@ -303,6 +300,6 @@ class LineStore:
                     yield pa.RecordBatch.from_arrays([batch.column(at["doc_id"]), pa.array(texts, batch.column(at["text"]).type), *([batch.column(at["_rest"])] if extra else []), batch.column(at["n_lines"]), n_dropped], [*kept_columns, "n_lines", "n_dropped"])
 
         if digest:
-            return both.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines bigint, n_dropped bigint, kept_sha256 string")
-        done = both.mapInArrow(cut, schema(packed, "n_lines bigint", "n_dropped bigint"))
+            return both.mapInArrow(cut, row_type(docs, ["doc_id"], n_lines="bigint", n_dropped="bigint", kept_sha256="string"))
+        done = both.mapInArrow(cut, row_type(packed, n_lines="bigint", n_dropped="bigint"))
         return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns), "n_lines", "n_dropped")

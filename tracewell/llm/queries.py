@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, chat, sharding
+from tracewell.llm import bpe, chat, quality, sharding
 from tracewell.llm.common import read_table
 from tracewell.llm.linededup import LineStore
 
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
 
@@ -32,7 +36,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(turns, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_bpe": op4_bpe, "op7_line_dedup": op7_line_dedup, "op10_chat": op10_chat}
+QUERIES = {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_line_dedup": op7_line_dedup, "op10_chat": op10_chat}
 
 _SHARD = "(SELECT arg_min(s, (-ln((('0x' || substr(md5('shard:' || s || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE), s)) FROM range({n}) AS t(s))"
 
