@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, quality, sharding
+from tracewell.llm import bpe, chat, decontam, quality, sharding, topk, warc
 from tracewell.llm.common import read_table
 from tracewell.llm.linededup import LineStore
 
@@ -18,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -26,17 +31,28 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return LineStore(spark).insert(docs).dedup(docs, digest=True)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(read_table(spark, sf_dir, "conversations"))
     return chat.digest_conversations(turns, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op7_line_dedup": op7_line_dedup, "op10_chat": op10_chat}
+QUERIES = {
+    "op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_warc": op5_warc,
+    "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op10_chat": op10_chat,
+}
 
 _SHARD = "(SELECT arg_min(s, (-ln((('0x' || substr(md5('shard:' || s || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE), s)) FROM range({n}) AS t(s))"
 
@@ -60,6 +76,35 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM placed
 """
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+OP5_SQL = """
+WITH hexed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+digits AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS twenty FROM hexed),
+spelt AS (
+  SELECT page_id, payload_bytes, h,
+    list_aggregate(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((twenty[(j // 4) + 1] >> (15 - 5 * (j % 4))) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM digits
+),
+held AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS holder FROM spelt)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM held
+"""
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
@@ -94,4 +139,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLES = {"op1_sharding": OP1_SQL, "op7_line_dedup": OP7_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op2_topk": OP2_SQL, "op5_warc": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_chat": OP10_SQL}
