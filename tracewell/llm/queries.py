@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, decontam, quality, sharding, topk, warc
+from tracewell.llm import bpe, chat, decontam, neardup, quality, sharding, topk, warc
 from tracewell.llm.common import read_table
 from tracewell.llm.linededup import LineStore
 
@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(read_table(spark, sf_dir, "conversations"))
     return chat.digest_conversations(turns, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
@@ -51,7 +55,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_warc": op5_warc,
-    "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op10_chat": op10_chat,
+    "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_near_dedup": op9_near_dedup, "op10_chat": op10_chat,
 }
 
 _SHARD = "(SELECT arg_min(s, (-ln((('0x' || substr(md5('shard:' || s || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE), s)) FROM range({n}) AS t(s))"
