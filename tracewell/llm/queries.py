@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, decontam, neardup, quality, sharding, topk, warc
+from tracewell.llm import bpe, chat, decontam, neardup, passages, quality, sharding, topk, warc
 from tracewell.llm.common import read_table
 from tracewell.llm.linededup import LineStore
 
@@ -35,6 +35,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return LineStore(spark).insert(docs).dedup(docs, digest=True)
@@ -55,6 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding, "op2_topk": op2_topk, "op3_quality": op3_quality, "op4_bpe": op4_bpe, "op5_warc": op5_warc,
+    "op6_passages": op6_passages,
     "op7_line_dedup": op7_line_dedup, "op8_decontamination": op8_decontamination, "op9_near_dedup": op9_near_dedup, "op10_chat": op10_chat,
 }
 
