@@ -63,3 +63,16 @@ def row_type(df: DataFrame, columns: list[str] | None = None, **more: str) -> T.
     """The type of rows that hold some columns of ``df`` (all by default) and then further ones, given as name=type."""
     kept = [T.StructField(f.name, f.dataType) for f in df.schema.fields if columns is None or f.name in columns]
     return T.StructType(kept + [T.StructField(n, T._parse_datatype_string(k)) for n, k in more.items()])
+
+
+#: Rows of one number each that are broadcast at most, after they were counted.
+BROADCAST_KEYS = 1_000_000
+
+
+def having(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` whose column ``on`` is among ``keys`` (a table of that one column, without repeats).
+
+    Keys are broadcast if they are no more than ``BROADCAST_KEYS``, so that wide rows stay where they are; else both sides are shuffled.
+    """
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")

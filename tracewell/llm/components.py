@@ -2,7 +2,7 @@
 
 Candidates come as buckets of ids. A link between two ids is costly to verify, and only links that join different
 components matter. So each bucket is first compared with one pivot; buckets whose members are then in one component
-are settled. The others get further pivots, and once the pairs left between components are few, all of those are
+are settled. The others get a further pivot as long as that settles nearly all, and then all pairs between different components are
 verified. No pair of different components that share a bucket is left unverified, so no component is missed.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ from tracewell.llm.common import Scratch
 PIVOT_ROUNDS = 6
 #: Pairs for each member of open buckets that may be verified at once instead of by pivots, and a number always allowed.
 PAIRS_EACH, PAIRS_ANYWAY = 4, 20_000
+#: A further pivot must have settled all but one in so many of the pairs between components.
+SETTLES = 10
+#: Up to so many edges are contracted in one task, whose memory that bounds; more are contracted by distributed rounds.
+TASK_EDGES = 50_000
 
 
 def contract(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
@@ -28,6 +33,8 @@ def contract(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     trees are contracted likewise until none is left. Every step is a table in the shared folder.
     """
     edges = scratch.save(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), f"{tag}-edges")
+    if edges.count() <= TASK_EDGES:
+        return scratch.save(edges.coalesce(1).mapInArrow(_union_find, "node bigint, root bigint"), f"{tag}-roots")
     roots = None
     turn = 0
     while not edges.isEmpty():
@@ -55,14 +62,32 @@ def contract(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0) if roots is None else roots
 
 
-def resolve(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _union_find(batches):
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns)):
+            u, v = top(u), top(v)
+            parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def resolve(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame, int], DataFrame], keys: DataFrame | None = None) -> DataFrame:
     """The component (least id) of every id in ``buckets`` (bucket, id): columns id, comp.
 
     ``verify`` takes pairs (a, b), a < b, each of them once over all rounds, with the number of the round, and
-    returns those that are links.
+    returns those that are links. ``keys`` (id, keys) may give all buckets of each id, if they are few: two ids then
+    meet in the first bucket they share only.
     """
     labels = scratch.save(buckets.select("id").distinct().withColumn("comp", F.col("id")), "labels-0")
     tested: DataFrame | None = None
+    before = float("inf")
     for turn in range(PIVOT_ROUNDS + 1):
         members = buckets.join(labels, "id")
         bounds = members.groupBy("bucket").agg(
@@ -74,11 +99,16 @@ def resolve(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame, i
         total, across = parts.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s")).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()
         if not total:
             break
-        last = across <= max(PAIRS_EACH * total, PAIRS_ANYWAY) or turn == PIVOT_ROUNDS
+        last = turn == PIVOT_ROUNDS or across <= max(PAIRS_EACH * total, PAIRS_ANYWAY) or across > before / SETTLES
+        before = across if turn else float("inf")
         mine = opened.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"), "pivot")
         other = opened.select("bucket", F.col("id").alias("y"), F.col("comp").alias("y_comp"))
-        if last:
-            pairs = mine.join(other, "bucket").where("x_comp < y_comp")
+        if last and keys is not None:
+            mine, other = (side.join(keys.select(F.col("id").alias(end), F.col("keys").alias(f"{end}_keys")), end) for side, end in ((mine, "x"), (other, "y")))
+            first = F.array_min(F.array_intersect("x_keys", "y_keys"))
+            pairs = mine.join(other.withColumnRenamed("bucket", "y_bucket"), (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp")) & (first == F.col("bucket")))
+        elif last:
+            pairs = mine.join(other.withColumnRenamed("bucket", "y_bucket"), (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp")))
         else:
             pairs = mine.join(other.join(bounds.select("bucket", F.col("pivot").alias("y")), ["bucket", "y"]), "bucket").where("x_comp <> y_comp")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -16,14 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Scratch, row_type
+from tracewell.llm.common import Scratch, having, row_type
 from tracewell.llm.components import resolve
 from tracewell.llm.shingles import mix, shingles
 
 #: SetSketch parameters: base, rate, and the largest register less one.
 BASE, RATE, CAP = 1.001, 20.0, 65_534
-#: 36 bands of 6 registers: a pair at similarity 0.8 is missed with probability 2e-5, one at 0.3 is met with 3 %.
-BANDS, BAND_REGISTERS = 36, 6
+#: 48 bands of 8 registers: a pair at similarity 0.8 is missed with probability 1.5e-4, one at 0.85 with 1e-6; one at 0.1 is met with 5e-7.
+BANDS, BAND_REGISTERS = 48, 8
 #: How much less likely the threshold must be than the best similarity for a candidate to be put aside (natural logarithm).
 DOUBT = 14.0
 #: Shingles hashed at a time; they and their products stay in the processor's cache.
@@ -93,42 +93,47 @@ def plausible(one: np.ndarray, two: np.ndarray, n: np.ndarray, m: np.ndarray, th
     return (most >= threshold - 1e-9) & (values.max(0) - at_least <= DOUBT)
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set) and registers (binary) of each row; an empty set has a null key and null registers."""
+def _each(docs: DataFrame, width: int, finish, schema) -> DataFrame:
+    """``finish`` of the ids and sets of some hundred rows at a time."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(shingles(t.as_py(), width)) for t in part.column(1)]
-                full = [s for s in sets if len(s)]
-                made = iter(registers(full)) if full else iter(())
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                rows = [next(made).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
+                yield finish(part.column(0), [np.unique(shingles(t.as_py(), width)) for t in part.column(1)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, row_type(docs, ["doc_id"], n_shingles="bigint", set_key="binary", registers="binary"))
+    return docs.mapInArrow(run, schema)
 
 
-def _band_rows(nodes: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = bands(np.stack([np.frombuffer(r.as_py(), "<u2") for r in batch.column(1)]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "id"])
+def node_ids(sets: list[np.ndarray], seed: int) -> list[int | None]:
+    """A 63-bit id for each set; an empty one has none."""
+    return [xxhash.xxh3_64_intdigest(s.tobytes(), seed) >> 1 if len(s) else None for s in sets]
 
-    return nodes.select("id", "registers").mapInArrow(run, "bucket bigint, id bigint")
 
+def sketch(docs: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """doc_id, n_shingles, node (id of the set), set_key (128-bit digest of it) and keys (a bucket for each band) of each row; an empty set has nulls."""
+
+    def finish(ids, sets):
+        full = [s for s in sets if len(s)]
+        made = iter(bands(registers(full)).view(np.int64)) if full else iter(())
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        rows = [next(made) if len(s) else None for s in sets]
+        columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(node_ids(sets, seed), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_shingles", "node", "set_key", "keys"])
+
+    return _each(docs.select("doc_id", "text"), width, finish, row_type(docs, ["doc_id"], n_shingles="bigint", node="bigint", set_key="binary", keys="array<bigint>"))
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingles(t.as_py(), width)).tobytes() for t in part.column(1)], pa.binary())], ["id", "members"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id bigint, members binary")
+def _candidates(docs: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFrame:
+    """For each of ``nodes`` (id) its set, sorted, and the set's size and registers."""
+
+    def finish(_, sets):
+        full = [s for s in sets if len(s)]
+        made = registers(full) if full else []
+        columns = [pa.array(node_ids(full, seed), pa.int64()), pa.array([len(s) for s in full], pa.int64()), pa.array([s.tobytes() for s in full], pa.binary()), pa.array([r.tobytes() for r in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n", "members", "registers"])
+
+    return _each(having(docs, nodes, "doc_id").select("doc_id", "text"), width, finish, "id bigint, n bigint, members binary, registers binary")
 
 
 def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -138,28 +143,27 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     least doc_id reachable. Documents without a word are linked with nothing. Rows of a null doc_id are linked with nothing: their
     component is null and they are kept. A repeated doc_id gets a row for each of its rows.
 
-    Only hashes, digests and registers are shuffled for all documents; sets travel for candidates alone.
+    Only hashes, digests and bucket keys are shuffled for all documents; sets travel for candidates alone.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(docs.sparkSession, "neardup")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketches = scratch.save(sketch(narrow, width), "sketches")
-    classes = scratch.save(sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = (
-        sketches.join(classes, (sketches.doc_id == classes.rep) & (sketches.set_key == classes.set_key)).select(F.col("doc_id").alias("id"), "n_shingles", "registers").dropDuplicates(["id"])
-    )
-    nodes = scratch.save(nodes, "nodes")
-    rows = _band_rows(nodes)
-    crowded = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    buckets = scratch.save(rows.join(crowded, "bucket"), "buckets")
-    wanted = buckets.select("id").distinct()
-    texts = narrow.join(wanted, narrow.doc_id == wanted.id, "left_semi")
-    known = narrow.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
-    members = _sets(texts, width)
-    if not known:  # of rows that repeat a doc_id, the one whose set is a node's
-        keyed = members.join(classes.withColumnRenamed("rep", "id"), "id")
-        members = keyed.where(_digest(keyed.members) == keyed.set_key).select("id", "members").dropDuplicates(["id"])
-    members = scratch.save(members, "members")
+    seed = 0
+    while True:
+        sketches = scratch.save(sketch(narrow, width, seed), f"sketches-{seed}")
+        whole = sketches.where("node is not null and doc_id is not null")
+        classes = scratch.save(whole.groupBy("node").agg(F.min("doc_id").alias("rep"), (F.min("set_key") != F.max("set_key")).alias("clash")), f"classes-{seed}")
+        if classes.where("clash").isEmpty():
+            break
+        seed += 1  # two sets share a node id: once in many corpora
+    rows = whole.select(F.explode("keys").alias("bucket"), F.col("node").alias("id"))
+    crowded = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = scratch.save(rows.join(crowded, "bucket").distinct(), "shared")
+    several = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    buckets = scratch.save(shared.join(several, "bucket"), "buckets")
+    wanted = scratch.save(buckets.select(F.col("id").alias("node")).distinct(), "wanted")
+    # a document of each candidate node; a doc_id that repeats brings further sets, which are dropped again
+    speakers = scratch.save(classes.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "speakers")
+    members = scratch.save(_candidates(narrow, speakers, width, seed).join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates(["id"]), "members")
     threshold = percent / 100
 
     def check(batches):
@@ -173,37 +177,33 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
     def estimate(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.stack([np.frombuffer(r.as_py(), "<u2") for r in batch.column(c)]) for c in ("r_a", "r_b"))
-            n, m = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(plausible(one, two, n, m, threshold)))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                one, two = (np.stack([np.frombuffer(r.as_py(), "<u2") for r in part.column(c)]) for c in ("r_a", "r_b"))
+                n, m = (part.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
+                yield part.select(["a", "b"]).filter(pa.array(plausible(one, two, n, m, threshold)))
 
     def verify(pairs: DataFrame, turn: int) -> DataFrame:
-        sides = pairs
+        sized = pairs
         for end in ("a", "b"):
-            sides = sides.join(nodes.select(F.col("id").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}")), end)
-        sized = sides.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        likely = scratch.save(sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, "a bigint, b bigint"), f"likely-{turn}")
+            sized = sized.join(members.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("registers").alias(f"r_{end}")), end)
+        sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "r_a", "r_b")
+        likely = scratch.save(sized.mapInArrow(estimate, "a bigint, b bigint"), f"likely-{turn}")
         for end in ("a", "b"):
             likely = likely.join(members.select(F.col("id").alias(end), F.col("members").alias(f"m_{end}")), end)
         return likely.select("a", "b", "m_a", "m_b").mapInArrow(check, "a bigint, b bigint")
 
-    labels = resolve(scratch, buckets, verify)
-    reached = classes.join(labels, classes.rep == labels.id, "left").select("set_key", F.coalesce("comp", "rep").alias("root"))
-    placed = sketches.select("doc_id", "n_shingles", "set_key").join(reached, "set_key", "left")
+    keys = whole.join(wanted, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("keys").alias("keys"))
+    labels = resolve(scratch, buckets, verify, keys)
+    # a component's nodes are named by set; its name is the least doc_id among them
+    named = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("root"))
+    reached = named.join(least, "comp").select("node", "root")
+    placed = sketches.select("doc_id", "n_shingles", "node").join(reached, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.cast("bigint").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _digest(members):
-    @F.pandas_udf("binary")
-    def digest(values):
-        return values.map(lambda v: xxhash.xxh3_128_digest(bytes(v)))
-
-    return digest(members)
-
-
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all its columns, with one document of each component: the one of least doc_id. Documents without words or id all stay."""
     found = components(docs, width, percent)
