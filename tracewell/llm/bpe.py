@@ -163,6 +163,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str,
     return rows.mapInArrow(run, row_type(rows, list(keep), ids="array<bigint>", decoded="binary"))
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int) and whether the ids decode to the text again, of each row; a null text counts as empty."""
+
+    def run(batches):
+        bpe = codec(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [t.as_py() or "" for t in part.column(1)]
+                ids = [bpe.encode(t) for t in texts]
+                same = [bpe.decode(i.tolist()) == t.encode() for i, t in zip(ids, texts)]
+                columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids", "decodes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, row_type(docs, ["doc_id"], n_tokens="bigint", ids="array<int>", decodes="boolean"))
+
+
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The number of ids of each document and digests of its ids and of what they decode to.
 

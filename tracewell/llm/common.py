@@ -74,5 +74,13 @@ def having(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
     Keys are broadcast if they are no more than ``BROADCAST_KEYS``, so that wide rows stay where they are; else both sides are shuffled.
     """
-    few = keys.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return df.join(_bounded(keys), on, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` whose column ``on`` is null or not among ``keys``, joined as ``having`` does."""
+    return df.join(_bounded(keys), on, "left_anti")
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

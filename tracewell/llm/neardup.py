@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import Scratch, having, row_type
+from tracewell.llm.common import Scratch, having, row_type, without
 from tracewell.llm.components import resolve
 from tracewell.llm.shingles import mix, shingles
 
@@ -205,7 +205,7 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all its columns, with one document of each component: the one of least doc_id. Documents without words or id all stay."""
+    """``docs``, all its columns, with one document of each component: the one of least doc_id. Documents without words or id all stay; of a repeated doc_id all rows stay if one does."""
     found = components(docs, width, percent)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    return without(docs, Scratch(docs.sparkSession, "gone").save(gone, "ids"), "doc_id").select(*docs.columns)
