@@ -1,9 +1,11 @@
 """Connected components over candidate buckets, without a pair for every two members of a bucket.
 
 Candidates come as buckets of ids. A link between two ids is costly to verify, and only links that join different
-components matter. So each bucket is first compared with one pivot; buckets whose members are then in one component
-are settled. The others get a further pivot as long as that settles nearly all, and then all pairs between different components are
-verified. No pair of different components that share a bucket is left unverified, so no component is missed.
+components matter. First each bucket is compared with one pivot, which settles most buckets: their members are then
+in one component. In the others, the largest component is the hub: ids that meet it from outside are compared with
+its members block by block, where a block of pairs is looked at in memory and only links come out. At last the ids
+outside the hubs are compared with each other. So every two ids of different components that share a bucket are
+compared, and no component is missed.
 """
 
 from __future__ import annotations
@@ -16,12 +18,8 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import Scratch
 
-#: Rounds with one pivot for each open bucket, at most; then all pairs between components are verified.
-PIVOT_ROUNDS = 6
-#: Pairs for each member of open buckets that may be verified at once instead of by pivots, and a number always allowed.
-PAIRS_EACH, PAIRS_ANYWAY = 4, 20_000
-#: A further pivot must have settled all but one in so many of the pairs between components.
-SETTLES = 10
+#: Members that a component has at least to be a hub; smaller ones are compared pair by pair.
+HUB_SIZE = 32
 #: Up to so many edges are contracted in one task, whose memory that bounds; more are contracted by distributed rounds.
 TASK_EDGES = 50_000
 
@@ -78,51 +76,59 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
-def resolve(scratch: Scratch, buckets: DataFrame, verify: Callable[[DataFrame, int], DataFrame], keys: DataFrame | None = None) -> DataFrame:
-    """The component (least id) of every id in ``buckets`` (bucket, id): columns id, comp.
+def resolve(
+    scratch: Scratch,
+    buckets: DataFrame,
+    verify: Callable[[DataFrame, int], DataFrame],
+    keys: DataFrame | None = None,
+    compare: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The component (least id) of the ids in ``buckets`` (bucket, id): columns id, comp. Ids without a link have no row.
 
-    ``verify`` takes pairs (a, b), a < b, each of them once over all rounds, with the number of the round, and
-    returns those that are links. ``keys`` (id, keys) may give all buckets of each id, if they are few: two ids then
-    meet in the first bucket they share only.
+    ``verify`` takes pairs (a, b), a < b, with the number of the round, and returns those that are links. ``compare``
+    takes ids with the hubs that they meet (id, hub) and the hubs' members (id, hub); it returns links (a, b), one for
+    each id and hub that are linked at least. Without it hubs are compared pair by pair. ``keys`` (id, keys) may give
+    all buckets of each id, if they are few: two ids then meet in the first bucket they share only.
     """
-    labels = scratch.save(buckets.select("id").distinct().withColumn("comp", F.col("id")), "labels-0")
-    tested: DataFrame | None = None
-    before = float("inf")
-    for turn in range(PIVOT_ROUNDS + 1):
-        members = buckets.join(labels, "id")
-        bounds = members.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
-            (F.min("id") if turn == 0 else F.min_by("id", F.xxhash64("id", F.lit(turn)))).alias("pivot"),
-        ).where("lo <> hi")
-        opened = scratch.save(members.join(bounds.select("bucket", "pivot"), "bucket").select("bucket", "id", "comp", "pivot"), f"open-{turn}")
-        parts = opened.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-        total, across = parts.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s")).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()
-        if not total:
-            break
-        last = turn == PIVOT_ROUNDS or across <= max(PAIRS_EACH * total, PAIRS_ANYWAY) or across > before / SETTLES
-        before = across if turn else float("inf")
-        mine = opened.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"), "pivot")
-        other = opened.select("bucket", F.col("id").alias("y"), F.col("comp").alias("y_comp"))
-        if last and keys is not None:
-            mine, other = (side.join(keys.select(F.col("id").alias(end), F.col("keys").alias(f"{end}_keys")), end) for side, end in ((mine, "x"), (other, "y")))
-            first = F.array_min(F.array_intersect("x_keys", "y_keys"))
-            pairs = mine.join(other.withColumnRenamed("bucket", "y_bucket"), (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp")) & (first == F.col("bucket")))
-        elif last:
-            pairs = mine.join(other.withColumnRenamed("bucket", "y_bucket"), (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp")))
-        else:
-            pairs = mine.join(other.join(bounds.select("bucket", F.col("pivot").alias("y")), ["bucket", "y"]), "bucket").where("x_comp <> y_comp")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        links = scratch.save(verify(pairs, turn), f"links-{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    spark = scratch.spark
+    labels = scratch.save(spark.createDataFrame([], "id bigint, comp bigint"), "labels-0")
+
+    def merge(links: DataFrame, turn: int) -> DataFrame:
+        """Labels after the components that ``links`` join are made one."""
         edges = links
         for end, name in (("a", "u"), ("b", "v")):
-            edges = edges.join(labels.select(F.col("id").alias(end), F.col("comp").alias(name)), end)
+            edges = edges.join(labels.select(F.col("id").alias(end), F.col("comp").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
         roots = contract(scratch, edges.select("u", "v"), f"contract-{turn}")
-        moved = roots.select(F.col("node").alias("comp"), "root")
-        labels = scratch.save(labels.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), f"labels-{turn + 1}")
-        if last:
-            break
-    return labels
+        moved = labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+        fresh = roots.select(F.col("node").alias("id"), F.col("root").alias("comp")).join(labels, "id", "left_anti")
+        return scratch.save(moved.unionByName(fresh), f"labels-{turn + 1}")
+
+    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"))
+    pairs = scratch.save(buckets.join(pivots, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs-0")
+    labels = merge(scratch.save(verify(pairs, 0), "links-0"), 0)
+
+    members = buckets.join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    members = scratch.save(members, "placed")
+    bounds = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    opened = scratch.save(members.join(bounds, "bucket"), "opened")
+    if opened.isEmpty():
+        return labels
+    if compare is not None:
+        sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= HUB_SIZE)
+        parts = opened.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).join(sizes, "comp")
+        hubs = scratch.save(parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("hub")), "hubs")
+        opened = scratch.save(opened.join(hubs, "bucket", "left"), "opened-hubs")
+        meets = scratch.save(opened.where("comp <> hub").select("id", "hub").distinct(), "meets")
+        held = labels.join(meets.select(F.col("hub").alias("comp")).distinct(), "comp", "left_semi").select("id", F.col("comp").alias("hub"))
+        labels = merge(scratch.save(compare(meets, held), "links-1"), 1)
+        opened = opened.where("hub is null or comp <> hub").drop("comp", "hub").join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        opened = scratch.save(opened, "opened-last")
+
+    mine = opened.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
+    other = opened.select(F.col("bucket").alias("y_bucket"), F.col("id").alias("y"), F.col("comp").alias("y_comp"))
+    meet = (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp"))
+    if keys is not None:
+        mine, other = (side.join(keys.select(F.col("id").alias(end), F.col("keys").alias(f"{end}_keys")), end) for side, end in ((mine, "x"), (other, "y")))
+        meet = meet & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("bucket"))
+    pairs = mine.join(other, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return merge(scratch.save(verify(scratch.save(pairs, "pairs-2"), 2), "links-2"), 2)

@@ -25,7 +25,9 @@ BASE, RATE, CAP = 1.001, 20.0, 65_534
 #: 48 bands of 8 registers: a pair at similarity 0.8 is missed with probability 1.5e-4, one at 0.85 with 1e-6; one at 0.1 is met with 5e-7.
 BANDS, BAND_REGISTERS = 48, 8
 #: How much less likely the threshold must be than the best similarity for a candidate to be put aside (natural logarithm).
-DOUBT = 14.0
+DOUBT = 8.0
+#: Documents of a block when a hub is compared with what meets it.
+BLOCK = 512
 #: Shingles hashed at a time; they and their products stay in the processor's cache.
 CHUNK = 1 << 16
 
@@ -193,8 +195,22 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
             likely = likely.join(members.select(F.col("id").alias(end), F.col("members").alias(f"m_{end}")), end)
         return likely.select("a", "b", "m_a", "m_b").mapInArrow(check, "a bigint, b bigint")
 
+    def compare(meets: DataFrame, held: DataFrame) -> DataFrame:
+        """Blocks of outsiders against blocks of their hub: sets travel once for each block, not for each pair."""
+        counts = held.groupBy("hub").agg(F.count(F.lit(1)).alias("h")).join(meets.groupBy("hub").agg(F.count(F.lit(1)).alias("o")), "hub")
+        scratch.save(counts.select("hub", *((F.ceil(F.col(c) / BLOCK).cast("int")).alias(c) for c in ("h", "o"))), "hub-blocks")
+
+        def side(rows: DataFrame, own: str, across: str) -> DataFrame:
+            # both sides read the tables anew: a cogroup tells its columns apart by their origin
+            sets, sizes = (scratch.read(name) for name in ("members", "hub-blocks"))
+            rows = rows.join(sizes, "hub").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+            return rows.withColumn(across, F.explode(F.sequence(F.lit(0), F.col(across) - 1))).join(sets, "id").select("hub", "h", "o", "id", "n", "registers", "members")
+
+        blocks = side(meets, "o", "h").groupBy("hub", "h", "o").cogroup(side(held, "h", "o").groupBy("hub", "h", "o"))
+        return blocks.applyInPandas(_meet(percent), "a bigint, b bigint")
+
     keys = whole.join(wanted, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("keys").alias("keys"))
-    labels = resolve(scratch, buckets, verify, keys)
+    labels = resolve(scratch, buckets, verify, keys, compare)
     # a component's nodes are named by set; its name is the least doc_id among them
     named = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("root"))
@@ -204,6 +220,31 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.cast("bigint").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _meet(percent: int):
+    """For each outsider the first link to a member of the hub's block, the likeliest members being tried first."""
+    import pandas as pd
+
+    def run(outside, inside):
+        if not len(outside) or not len(inside):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        two = np.stack([np.frombuffer(r, "<u2") for r in inside.registers])
+        sets = [np.frombuffer(m, np.uint64) for m in inside.members]
+        ids, m = inside.id.to_numpy(), inside.n.to_numpy().astype(float)
+        links = []
+        for x, n, own, held in zip(outside.id, outside.n, outside.registers, outside.members):
+            one = np.broadcast_to(np.frombuffer(own, "<u2"), two.shape)
+            likely = np.flatnonzero(plausible(one, two, np.full(len(m), float(n)), m, percent / 100))
+            mine = np.frombuffer(held, np.uint64)
+            for at in likely[np.argsort(-(one[likely] == two[likely]).sum(1), kind="stable")].tolist():
+                both = len(np.intersect1d(mine, sets[at], assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(sets[at]) - both):
+                    links.append((min(x, ids[at]), max(x, ids[at])))
+                    break
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all its columns, with one document of each component: the one of least doc_id. Documents without words or id all stay; of a repeated doc_id all rows stay if one does."""
     found = components(docs, width, percent)
