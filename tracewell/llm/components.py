@@ -76,6 +76,24 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
+def hub_blocks(scratch: Scratch, meets: DataFrame, held: DataFrame, payload: str, size: int):
+    """Groups of about ``size`` outsiders and as many members of their hub, with the columns of the saved table ``payload`` (by id).
+
+    What an id carries travels once for each block of the other side, not for each pair.
+    """
+    counts = held.groupBy("hub").agg(F.count(F.lit(1)).alias("h")).join(meets.groupBy("hub").agg(F.count(F.lit(1)).alias("o")), "hub")
+    scratch.save(counts.select("hub", *((F.ceil(F.col(c) / size).cast("int")).alias(c) for c in ("h", "o"))), "hub-blocks")
+
+    def side(rows: DataFrame, own: str, across: str):
+        # both sides read the tables anew: a cogroup tells its columns apart by their origin
+        carried, sizes = (scratch.read(name) for name in (payload, "hub-blocks"))
+        rows = rows.join(sizes, "hub").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(across, F.explode(F.sequence(F.lit(0), F.col(across) - 1))).join(carried, "id")
+        return rows.select("hub", "h", "o", *carried.columns).groupBy("hub", "h", "o")
+
+    return side(meets, "o", "h").cogroup(side(held, "h", "o"))
+
+
 def resolve(
     scratch: Scratch,
     buckets: DataFrame,

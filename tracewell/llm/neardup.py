@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Scratch, having, row_type, without
-from tracewell.llm.components import resolve
+from tracewell.llm.components import hub_blocks, resolve
 from tracewell.llm.shingles import mix, shingles
 
 #: SetSketch parameters: base, rate, and the largest register less one.
@@ -196,18 +196,7 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         return likely.select("a", "b", "m_a", "m_b").mapInArrow(check, "a bigint, b bigint")
 
     def compare(meets: DataFrame, held: DataFrame) -> DataFrame:
-        """Blocks of outsiders against blocks of their hub: sets travel once for each block, not for each pair."""
-        counts = held.groupBy("hub").agg(F.count(F.lit(1)).alias("h")).join(meets.groupBy("hub").agg(F.count(F.lit(1)).alias("o")), "hub")
-        scratch.save(counts.select("hub", *((F.ceil(F.col(c) / BLOCK).cast("int")).alias(c) for c in ("h", "o"))), "hub-blocks")
-
-        def side(rows: DataFrame, own: str, across: str) -> DataFrame:
-            # both sides read the tables anew: a cogroup tells its columns apart by their origin
-            sets, sizes = (scratch.read(name) for name in ("members", "hub-blocks"))
-            rows = rows.join(sizes, "hub").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-            return rows.withColumn(across, F.explode(F.sequence(F.lit(0), F.col(across) - 1))).join(sets, "id").select("hub", "h", "o", "id", "n", "registers", "members")
-
-        blocks = side(meets, "o", "h").groupBy("hub", "h", "o").cogroup(side(held, "h", "o").groupBy("hub", "h", "o"))
-        return blocks.applyInPandas(_meet(percent), "a bigint, b bigint")
+        return hub_blocks(scratch, meets, held, "members", BLOCK).applyInPandas(_meet(percent), "a bigint, b bigint")
 
     keys = whole.join(wanted, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("keys").alias("keys"))
     labels = resolve(scratch, buckets, verify, keys, compare)
