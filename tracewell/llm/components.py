@@ -94,19 +94,31 @@ def hub_blocks(scratch: Scratch, meets: DataFrame, held: DataFrame, payload: str
     return side(meets, "o", "h").cogroup(side(held, "h", "o"))
 
 
+def bucket_blocks(opened: DataFrame, size: int) -> DataFrame:
+    """``opened`` dealt and sorted so that rows of equal ``block`` (bucket, i, j) follow each other: at most about two blocks of ``size`` rows of a bucket, with ``own``, the row's block.
+
+    Every two rows of a bucket are together in the group of their two blocks.
+    """
+    counts = opened.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    rows = opened.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.struct("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.withColumn("block", block).drop("other", "blocks").repartition("block").sortWithinPartitions("block")
+
+
 def resolve(
     scratch: Scratch,
     buckets: DataFrame,
     verify: Callable[[DataFrame, int], DataFrame],
-    keys: DataFrame | None = None,
     compare: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    sift: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The component (least id) of the ids in ``buckets`` (bucket, id): columns id, comp. Ids without a link have no row.
 
     ``verify`` takes pairs (a, b), a < b, with the number of the round, and returns those that are links. ``compare``
     takes ids with the hubs that they meet (id, hub) and the hubs' members (id, hub); it returns links (a, b), one for
-    each id and hub that are linked at least. Without it hubs are compared pair by pair. ``keys`` (id, keys) may give
-    all buckets of each id, if they are few: two ids then meet in the first bucket they share only.
+    each id and hub that are linked at least. Without it hubs are compared pair by pair. ``sift`` may make the last
+    pairs out of open buckets (bucket, id, comp): at least all pairs of different components that may be links.
     """
     spark = scratch.spark
     labels = scratch.save(spark.createDataFrame([], "id bigint, comp bigint"), "labels-0")
@@ -142,11 +154,11 @@ def resolve(
         opened = opened.where("hub is null or comp <> hub").drop("comp", "hub").join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         opened = scratch.save(opened, "opened-last")
 
-    mine = opened.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
-    other = opened.select(F.col("bucket").alias("y_bucket"), F.col("id").alias("y"), F.col("comp").alias("y_comp"))
-    meet = (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp"))
-    if keys is not None:
-        mine, other = (side.join(keys.select(F.col("id").alias(end), F.col("keys").alias(f"{end}_keys")), end) for side, end in ((mine, "x"), (other, "y")))
-        meet = meet & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("bucket"))
-    pairs = mine.join(other, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return merge(scratch.save(verify(scratch.save(pairs, "pairs-2"), 2), "links-2"), 2)
+    if sift is not None:
+        pairs = sift(opened)
+    else:
+        mine = opened.select("bucket", F.col("id").alias("x"), F.col("comp").alias("x_comp"))
+        other = opened.select(F.col("bucket").alias("y_bucket"), F.col("id").alias("y"), F.col("comp").alias("y_comp"))
+        met = mine.join(other, (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp")))
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return merge(scratch.save(verify(scratch.save(pairs.distinct(), "pairs-2"), 2), "links-2"), 2)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import Scratch, having, row_type, without
-from tracewell.llm.components import hub_blocks, resolve
+from tracewell.llm.components import bucket_blocks, hub_blocks, resolve
 from tracewell.llm.shingles import mix, shingles
 
 #: SetSketch parameters: base, rate, and the largest register less one.
@@ -198,8 +198,15 @@ def components(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     def compare(meets: DataFrame, held: DataFrame) -> DataFrame:
         return hub_blocks(scratch, meets, held, "members", BLOCK).applyInPandas(_meet(percent), "a bigint, b bigint")
 
-    keys = whole.join(wanted, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("keys").alias("keys"))
-    labels = resolve(scratch, buckets, verify, keys, compare)
+    keys = scratch.save(whole.join(wanted, "node", "left_semi").groupBy(F.col("node").alias("id")).agg(F.first("keys").alias("keys")), "keys")
+
+    def sift(opened: DataFrame) -> DataFrame:
+        """Estimates within blocks of a bucket; a pair comes out of the first band that it shares only, and only if it is plausible."""
+        carried = opened.join(members.select("id", "n", "registers"), "id").join(keys, "id")
+        dealt = bucket_blocks(carried, BLOCK).select("block", "own", "id", "comp", "n", "registers", "keys")
+        return dealt.mapInArrow(_sift(threshold), "a bigint, b bigint")
+
+    labels = resolve(scratch, buckets, verify, compare, sift)
     # a component's nodes are named by set; its name is the least doc_id among them
     named = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("root"))
@@ -234,6 +241,53 @@ def _meet(percent: int):
     return run
 
 
+def _sift(threshold: float):
+    def compare(rows):
+        bucket, own, ids, comps, n, registers, keys = rows
+        one = np.stack([np.frombuffer(r, "<u2") for r in registers])
+        bands_ = np.stack(keys)
+        own, ids, comps, n = np.array(own), np.array(ids), np.array(comps), np.array(n, float)
+        i, j = bucket["i"], bucket["j"]
+        x, y = np.triu_indices(len(ids), 1)
+        wanted = comps[x] != comps[y]
+        if i != j:
+            wanted &= own[x] != own[y]
+        wanted &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+        x, y = x[wanted], y[wanted]
+        out = []
+        for at in range(0, len(x), 4096):
+            p, q = x[at : at + 4096], y[at : at + 4096]
+            same = bands_[p] == bands_[q]
+            first = np.take_along_axis(bands_[p], same.argmax(1)[:, None], 1)[:, 0] == bucket["bucket"]
+            p, q = p[first], q[first]
+            likely = plausible(one[p], one[q], n[p], n[q], threshold) if len(p) else np.zeros(0, bool)
+            out.append((np.minimum(ids[p], ids[q])[likely], np.maximum(ids[p], ids[q])[likely]))
+        return out
+
+    def run(batches):
+        held, last = [], None
+
+        def flush():
+            if len(held) > 1:
+                for a, b in compare([last, *zip(*held)]):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            columns = [batch.column(k) for k in range(1, batch.num_columns)]
+            blocks = batch.column(0).to_pylist()
+            for at, block in enumerate(blocks):
+                if block != last:
+                    yield from flush()
+                    last = block
+                *plain, packed = (c[at] for c in columns)
+                held.append((*(v.as_py() for v in plain), packed.values.to_numpy()))
+        yield from flush()
+
+    return run
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all its columns, with one document of each component: the one of least doc_id. Documents without words or id all stay; of a repeated doc_id all rows stay if one does."""
     found = components(docs, width, percent)
