@@ -1,0 +1,244 @@
+"""The registered queries of the engine, over the driver's tables and the article fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewell.functions import similarity as S
+from tracewell.functions import text as X
+from tracewell.operators import citations, evidence, quotes, render, runs, sequence
+from tracewell.plans.fixtures import articles
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "raw"))
+    return docs.select("doc_id", "ln", F.trim("raw").alias("line")).where("line <> ''")
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.merge_soft_wrapped(articles(spark, sf_dir))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    elements = _elements(spark, sf_dir)
+    return elements, citations.build_citation_groups(elements)
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.match_segments(*_groups(spark, sf_dir))
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(*_groups(spark, sf_dir))
+
+
+def elements_by_type(spark, sf_dir):
+    return _elements(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def normalize_ws(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "ln", X.normalise(F.col("line")).alias("normalised"))
+
+
+def terminal_punct(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(X.is_terminal(F.col("line"))).alias("n_terminal"))
+
+
+def speaker_turn(spark, sf_dir):
+    return _elements(spark, sf_dir).where(X.is_speaker_turn(F.col("text"))).select("doc_id", "position", "type")
+
+
+def noise_filter(spark, sf_dir):
+    return _lines(spark, sf_dir).where(~X.is_noise(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+def _texts(spark, sf_dir):
+    return _elements(spark, sf_dir).where("text is not null")
+
+
+def citation_predicate(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", "position", X.is_citation(F.col("text")).alias("cited"), X.is_citation_only(F.col("text")).alias("cited_only"))
+
+
+def citation_marker_count(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", "position", X.citation_marker_count(F.col("text")).alias("n_markers"), X.has_year(F.col("text")).alias("dated"))
+
+
+def trailing_citation(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", "position", X.trailing_citation(F.col("text")).alias("tail")).where("tail is not null")
+
+
+def citation_parse(spark, sf_dir):
+    return _groups(spark, sf_dir)[1].select("doc_id", "citation_id", "source_title", "outlet", "date", "url")
+
+
+def soft_wrap_merge(spark, sf_dir):
+    return _elements(spark, sf_dir).select("doc_id", "position", "type", "text")
+
+
+def dense_positions(spark, sf_dir):
+    return _elements(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last_position"), F.count_distinct("position").alias("n_positions"))
+
+
+def _image_ids(column):
+    return F.array_join(F.transform(column, lambda i: i["image_id"]), "|")
+
+
+def citation_groups(spark, sf_dir):
+    return _groups(spark, sf_dir)[1].select("doc_id", "citation_id", "citation_text", _image_ids("images").alias("images"), "position")
+
+
+def citation_group_image_counts(spark, sf_dir):
+    return _groups(spark, sf_dir)[1].groupBy(F.size("images").alias("n_images")).agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+def segment_matches(spark, sf_dir):
+    return _matches(spark, sf_dir).drop("matched_images")
+
+
+def segment_score_histogram(spark, sf_dir):
+    return _matches(spark, sf_dir).groupBy(X.score_label(F.col("match_score")).alias("label"), "segment_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def confidence_filter(spark, sf_dir):
+    return citations.filter_matches(_matches(spark, sf_dir), "high").select("doc_id", "segment_id", "matched_citation_id")
+
+
+def run_summary(spark, sf_dir):
+    return runs.summarise(_matches(spark, sf_dir))
+
+
+def quote_blocks(spark, sf_dir):
+    after = F.when(F.col("after.type") == "citation", F.col("after.position"))
+    return quotes.quote_parts(_elements(spark, sf_dir)).select("doc_id", "quote_start_position", "quote_end_position", after.alias("citation_after"))
+
+
+def quote_descriptions(spark, sf_dir):
+    return quotes.quote_parts(_elements(spark, sf_dir)).where("intro is not null").select("doc_id", "quote_start_position", F.col("intro.position").alias("description_position"))
+
+
+def quote_links(spark, sf_dir):
+    return _links(spark, sf_dir).drop("quote_number", "nearest_image_id")
+
+
+def nearest_image(spark, sf_dir):
+    near = sequence.nearest_image(_elements(spark, sf_dir)).where("type = 'quote' and image_near is not null")
+    return near.select("doc_id", "position", "image_near.image_id", F.col("image_near.position").alias("image_position"))
+
+
+def heading_like_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).where(X.is_heading_like(F.col("line"))).select("doc_id", "ln")
+
+
+def images_by_text(spark, sf_dir):
+    return citations.images_by_text(_groups(spark, sf_dir)[1]).select("doc_id", "cited_key", _image_ids("images").alias("images"))
+
+
+def tokens_content(spark, sf_dir):
+    text = F.col("text")
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(S.content_tokens(text), " ").alias("tokens"), F.size(S.content_tokens(text, False)).alias("n_all"))
+
+
+def jaccard_pairs(spark, sf_dir):
+    """Items that share a token meet through it; no pair without one is made."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", S.content_tokens(F.col("text")).alias("k"))
+    posted = items.select("item_id", F.size("k").alias("n"), F.explode("k").alias("token"))
+    pairs = posted.alias("x").join(posted.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.item_id") < F.col("y.item_id")))
+    shared = pairs.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("both"))
+    return shared.select("a", "b", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("jaccard"))
+
+
+def query_overlap_topk(spark, sf_dir):
+    """The six documents that hold most of an item's tokens: an equi-join on tokens, counted before the ranking."""
+    wanted = _table(spark, sf_dir, "benchmark").select("item_id", S.page_tokens(F.col("text")).alias("k")).select("item_id", F.size("k").alias("n"), F.explode("k").alias("token"))
+    held = _table(spark, sf_dir, "documents").select("doc_id", F.explode(S.page_tokens(F.col("text"))).alias("token"))
+    scored = wanted.join(held, "token").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("overlap"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id"))
+    return scored.withColumn("rank", rank).where("rank <= 6").select("item_id", "rank", "doc_id", "overlap")
+
+
+def _cosines(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = vectors.join(asked, F.col("vec_id") != F.col("query_id"))
+    return pairs.select("query_id", "vec_id", F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+
+
+def cosine_topk(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
+    return _cosines(spark, sf_dir).withColumn("rank", rank).where("rank <= 6").select("query_id", "rank", "vec_id", "cosine")
+
+
+def page_margin_accept(spark, sf_dir):
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    top = _cosines(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    margin = F.round(F.col("cosine") - F.coalesce(F.lead("cosine").over(Window.partitionBy("query_id").orderBy("rank")), F.lit(0.0)), 6)
+    return top.withColumn("margin", margin).where((F.col("rank") == 1) & (F.col("cosine") >= evidence.LEAST_SCORE) & (F.col("margin") >= evidence.LEAST_MARGIN)).select("query_id", "vec_id", "cosine", "margin")
+
+
+def needs_ocr(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where(X.needs_ocr(F.col("text"))).select("doc_id")
+
+
+def shell_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(F.count_if(X.is_shell(F.col("line"))).alias("n_shell"), F.count(F.lit(1)).alias("n"))
+
+
+def span_score(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "ln", F.round(S.boundary_bonus(F.col("line")), 6).alias("bonus"))
+
+
+def target_groups(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", S.target_groups(F.col("text")).alias("target"))
+
+
+def run_history_topk(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").withColumnRenamed("ts", "created_at").withColumn("run_id", F.col("event_id"))
+    return runs.history(log).select("event_id", F.col("created_at").alias("ts"), "event_type")
+
+
+def latest_run(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("path"), F.col("ts").alias("modified"))
+    return runs.latest(log, ["event_type"]).withColumnRenamed("path", "event_id")
+
+
+def borrow_lookback(spark, sf_dir):
+    """Every third link of a document counts as coloured."""
+    spans = F.when(F.col("quote_number") % 3 == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    links = _links(spark, sf_dir).withColumn("claim_spans", spans).withColumn("colorization_description_text", F.lit(None).cast("string")).withColumn("colorization_description_position", F.lit(None).cast("int"))
+    return sequence.borrow_lookback(links).where("borrowed_text is not null").select("doc_id", "quote_number", "borrowed_text", "borrowed_position")
+
+
+def quote_part_offsets(spark, sf_dir):
+    return render.quote_part_offsets(_links(spark, sf_dir)).select("doc_id", "quote_number", "part_number", "part", "start")
+
+
+def fingerprint_theta_join(spark, sf_dir):
+    """Citations of the fixture against its narrations as pages, by fingerprint."""
+    elements, groups = _groups(spark, sf_dir)
+    pages = elements.where("text is not null").select("doc_id", F.col("position").alias("page_number"), "text", "image")
+    ranked = evidence.rank_pages(evidence.bearing_pages(groups, pages))
+    return ranked.select("doc_id", "citation_id", "page_number", "rank", F.round("score", 6).alias("score"))
+
+
+def fuzzy_coverage(spark, sf_dir):
+    """For each link, how far its quote covers its description."""
+    unit, span = S.content_tokens(F.col("description_text")), S.content_tokens(F.col("quote_text"))
+    return _links(spark, sf_dir).select("doc_id", "quote_id", F.round(S.coverage(unit, span), 6).alias("coverage"), S.fuzzy_matches(unit, span).alias("n_matched"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        elements_by_type, normalize_ws, terminal_punct, speaker_turn, noise_filter, citation_predicate, citation_marker_count, trailing_citation, citation_parse,
+        soft_wrap_merge, dense_positions, citation_groups, citation_group_image_counts, segment_matches, segment_score_histogram, confidence_filter, run_summary,
+        quote_blocks, quote_descriptions, quote_links, nearest_image, heading_like_lines, images_by_text, tokens_content, jaccard_pairs, query_overlap_topk,
+        cosine_topk, page_margin_accept, needs_ocr, shell_lines, span_score, target_groups, run_history_topk, latest_run, borrow_lookback, quote_part_offsets,
+        fingerprint_theta_join, fuzzy_coverage,
+    )
+}
