@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import is_citation_only, join_key, parse_citation, score_label, trailing_citation
-from tracewell.operators.sequence import BEFORE, with_neighbours
+from tracewell.operators.sequence import before, with_neighbours
 
 #: A segment whose own trailing citation is found, and one that a citation follows directly.
 DIRECT_SCORE, FORWARD_SCORE = 0.92, 0.72
@@ -15,7 +15,7 @@ DIRECT_SCORE, FORWARD_SCORE = 0.92, 0.72
 def build_citation_groups(elements: DataFrame) -> DataFrame:
     """A row for each citation with the images since the one before it: a cumulative count of citations is their key. Images after the last citation are dropped."""
     cited = (F.col("type") == "citation") & (F.coalesce(F.col("text"), F.lit("")) != "")
-    numbered = elements.withColumn("_cited", cited).withColumn("_group", F.coalesce(F.sum(F.col("_cited").cast("int")).over(BEFORE), F.lit(0)))
+    numbered = elements.withColumn("_cited", cited).withColumn("_group", F.coalesce(F.sum(F.col("_cited").cast("int")).over(before()), F.lit(0)))
     image = F.when((F.col("type") == "image") & F.col("image").isNotNull(), F.struct("position", "image"))
     groups = numbered.groupBy("doc_id", "_group").agg(
         F.max(F.when(F.col("_cited"), F.struct("position", "text"))).alias("_citation"), F.array_sort(F.collect_list(image)).alias("_images")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import is_citation_only, is_description, is_heading_like, join_key, normalise_edges, trailing_citation
 from tracewell.operators.citations import last_by_text
-from tracewell.operators.sequence import BEFORE, nearest_image, with_neighbours
+from tracewell.operators.sequence import before, nearest_image, with_neighbours
 
 
 def quote_parts(elements: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def quote_parts(elements: DataFrame) -> DataFrame:
     The description is the last earlier narration that introduces a quote, however far back.
     """
     intro = F.when((F.col("type") == "narration") & is_description(F.col("text")), F.struct("text", "position"))
-    around = nearest_image(with_neighbours(elements)).withColumn("intro", F.last(intro, ignorenulls=True).over(BEFORE))
+    around = nearest_image(with_neighbours(elements)).withColumn("intro", F.last(intro, ignorenulls=True).over(before()))
     return around.where("block is not null").groupBy("doc_id", "block").agg(
         F.min("position").alias("quote_start_position"), F.max("position").alias("quote_end_position"), F.min_by("intro", "position").alias("intro"),
         F.min_by("image_near", "position").alias("image_near"), F.max_by("after", "position").alias("after"),

@@ -1,10 +1,17 @@
-"""The annotated document as a relational render plan; bytes are made from it by a thin writer."""
+"""The annotated document: a relational plan of what stands where, and a thin writer of DOCX bytes from it."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.sequence import quote_blocks
+
 
 def quote_part_offsets(links: DataFrame) -> DataFrame:
     """A row for each paragraph of each quote: part_number (from 0), part, and where it starts and ends in the whole quote."""
@@ -12,3 +19,110 @@ def quote_part_offsets(links: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id", "quote_number").orderBy("part_number").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0)).cast("int")
     return parts.withColumn("start", start).withColumn("end", start + F.length("part"))
+
+
+def colored_runs(pieces: DataFrame, keys: list[str], spans: str = "spans", text: str = "text") -> DataFrame:
+    """Texts cut into runs: ``keys``, start, end, color (null for plain text), group_id and the run's text.
+
+    ``spans`` is an array of structs (start, end, color, group_id) in the text's own positions. From left to right a
+    span that begins within what is already coloured keeps only its rest; equal ranges count once.
+    """
+    order = Window.partitionBy(*keys).orderBy("s_start", F.desc("s_end"))
+    clipped = pieces.select(*keys, text, F.explode(spans).alias("s")).select(
+        *keys, text, F.greatest(F.lit(0), F.col("s.start")).alias("s_start"), F.least(F.length(text), F.col("s.end")).alias("s_end"), F.col("s.color").alias("color"), F.col("s.group_id").alias("group_id")
+    )
+    reached = F.coalesce(F.max("s_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    colored = clipped.where("s_end > s_start").withColumn("start", F.greatest("s_start", reached)).where("s_end > start").select(*keys, text, "start", F.col("s_end").alias("end"), "color", "group_id")
+    along = Window.partitionBy(*keys).orderBy("start")
+    gaps = colored.withColumn("from", F.coalesce(F.lag("end").over(along), F.lit(0))).where("start > from").select(*keys, text, F.col("from").alias("start"), F.col("start").alias("end"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("group_id"))
+    ends = pieces.join(colored.groupBy(*keys).agg(F.max("end").alias("last")), keys, "left").withColumn("start", F.coalesce("last", F.lit(0))).where(F.length(text) > F.col("start"))
+    rest = ends.select(*keys, text, "start", F.length(text).alias("end"), F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("group_id"))
+    runs = colored.unionByName(gaps).unionByName(rest)
+    return runs.select(*keys, "start", "end", "color", "group_id", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("run"))
+
+
+def quote_runs(links: DataFrame) -> DataFrame:
+    """The runs of every quote paragraph: spans of the whole quote clipped to the paragraph and moved into it."""
+    parts = quote_part_offsets(links)
+    local = F.filter(
+        F.transform("claim_spans", lambda s: F.struct(
+            (F.greatest(s["quote_start"], F.col("start")) - F.col("start")).alias("start"), (F.least(s["quote_end"], F.col("end")) - F.col("start")).alias("end"), s["color"].alias("color"), s["group_id"].alias("group_id"))),
+        lambda s: s["end"] > s["start"],
+    )
+    pieces = parts.select("doc_id", "quote_number", "part_number", F.col("part").alias("text"), local.alias("spans"))
+    return colored_runs(pieces, ["doc_id", "quote_number", "part_number"])
+
+
+def render_plan(elements: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """The annotated document in order: doc_id, seq, kind, text, runs, anchor, link, images.
+
+    Headings and narrations stand as they are; a description carries its spans and the anchor that its quotes link
+    back to; the paragraphs of a linked quote carry theirs; after the last of a block come its citation and images.
+    A link without a citation has no citation line.
+    """
+    starts = links.select("doc_id", "quote_number", "quote_start_position", "quote_end_position", "citation_text", F.coalesce("colorization_description_position", "description_position").alias("at"), "claim_spans")
+    described = starts.select("doc_id", F.col("at").alias("position"), F.explode("claim_spans").alias("s")).select("doc_id", "position", F.struct(
+        F.col("s.description_start").alias("start"), F.col("s.description_end").alias("end"), F.col("s.color").alias("color"), F.col("s.group_id").alias("group_id")).alias("s"))
+    texts = elements.where("type in ('heading', 'narration')").select("doc_id", "position", "type", "text")
+    anchors = starts.groupBy("doc_id", F.col("at").alias("position")).agg(F.min("quote_number").alias("anchor"))
+    painted = texts.join(described.groupBy("doc_id", "position").agg(F.array_distinct(F.collect_list("s")).alias("spans")), ["doc_id", "position"], "left")
+    empty = F.array().cast("array<struct<start:int,end:int,color:string,group_id:string>>")
+    painted = painted.withColumn("spans", F.coalesce("spans", empty))
+    run = F.struct("start", "run", "color", "group_id")
+    lists = colored_runs(painted, ["doc_id", "position"]).groupBy("doc_id", "position").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    plain = texts.join(lists, ["doc_id", "position"], "left").join(anchors, ["doc_id", "position"], "left").select(
+        "doc_id", "position", F.lit(0).alias("sub"), F.col("type").alias("kind"), "text", "runs", F.concat(F.lit("description_"), F.col("anchor").cast("string")).alias("anchor"), F.lit(None).cast("string").alias("link"))
+    quoted = quote_runs(links).groupBy("doc_id", "quote_number", "part_number").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    quoted = quoted.join(starts.select("doc_id", "quote_number", F.col("quote_start_position").alias("position"), "at"), ["doc_id", "quote_number"]).select(
+        "doc_id", "position", F.col("part_number").alias("sub"), F.lit("quote").alias("kind"), F.array_join(F.transform("runs", lambda r: r["run"]), "").alias("text"), "runs",
+        F.when(F.col("part_number") == 0, F.concat(F.lit("quote_"), F.col("quote_number").cast("string"))).alias("anchor"),
+        # the way back exists only if the description stands earlier
+        F.when(F.col("at") < F.col("position"), F.concat(F.lit("description_"), F.col("quote_number").cast("string"))).alias("link"),
+    )
+    unlinked = quote_blocks(elements).where("type = 'quote'").join(starts.select("doc_id", "quote_start_position", "quote_end_position"), "doc_id", "left").groupBy("doc_id", "position", "text").agg(
+        F.max(F.coalesce(F.col("position").between(F.col("quote_start_position"), F.col("quote_end_position")), F.lit(False))).alias("linked")).where("not linked")
+    none = F.lit(None).cast("string")
+    loose = unlinked.select("doc_id", "position", F.lit(0).alias("sub"), F.lit("quote").alias("kind"), "text", F.lit(None).cast(plain.schema["runs"].dataType).alias("runs"), none.alias("anchor"), none.alias("link"))
+    cited = starts.where("citation_text is not null").select("doc_id", F.col("quote_end_position").alias("position"), F.lit(1_000_000).alias("sub"), F.lit("citation").alias("kind"), F.col("citation_text").alias("text"), F.lit(None).cast(plain.schema["runs"].dataType).alias("runs"), none.alias("anchor"), none.alias("link"))
+    rows = plain.unionByName(quoted).unionByName(loose).unionByName(cited)
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "sub", "kind")) - 1
+    images = groups.groupBy("doc_id", F.col("citation_text").alias("text")).agg(F.max_by("images", "position").alias("images")).withColumn("kind", F.lit("citation"))
+    return rows.withColumn("seq", seq.cast("int")).join(images, ["doc_id", "kind", "text"], "left").select("doc_id", "seq", "kind", "text", "runs", "anchor", "link", "images")
+
+
+_TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+_RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
+_HIGHLIGHTS = {"YELLOW": "yellow", "TURQUOISE": "cyan", "BRIGHT_GREEN": "green", "PINK": "magenta", "GRAY_25": "lightGray", "BLUE": "blue", "RED": "red"}
+
+
+def docx_bytes(rows: list[dict]) -> bytes:
+    """A Word file of a document's plan rows in order."""
+    body, number = [], 0
+    for row in rows:
+        style = {"heading": "Heading1", "quote": "Quote"}.get(row["kind"], "Normal")
+        runs = row["runs"] or [{"run": row["text"] or "", "color": None}]
+        text = "".join(f'<w:r>{f"<w:rPr><w:highlight w:val=\"{_HIGHLIGHTS[r["color"]]}\"/></w:rPr>" if r["color"] else ""}<w:t xml:space="preserve">{escape(r["run"])}</w:t></w:r>' for r in runs)
+        if row["link"]:
+            text += f'<w:hyperlink w:anchor="{row["link"]}"><w:r><w:t xml:space="preserve"> ↑</w:t></w:r></w:hyperlink>'
+        if row["anchor"]:
+            number += 1
+            text = f'<w:bookmarkStart w:id="{number}" w:name="{row["anchor"]}"/>{text}<w:bookmarkEnd w:id="{number}"/>'
+        body.append(f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr>{text}</w:p>')
+    document = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(body)}</w:body></w:document>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, data in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", document)):
+            archive.writestr(zipfile.ZipInfo(name), data)
+    return out.getvalue()
+
+
+def to_docx(plan: DataFrame) -> DataFrame:
+    """doc_id and the bytes of its Word file."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [docx_bytes(r) for r in batch.column("rows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "content"])
+
+    whole = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "runs", "anchor", "link"))).alias("rows"))
+    return whole.mapInArrow(run, "doc_id bigint, content binary")

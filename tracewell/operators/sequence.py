@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import SPACE, is_speaker_turn, is_terminal
 
-ORDER = Window.partitionBy("doc_id").orderBy("position")
-UP_TO = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-FROM_HERE = ORDER.rowsBetween(0, Window.unboundedFollowing)
+
+def in_order() -> WindowSpec:
+    """The rows of a document by position; made when used, as no session exists on import."""
+    return Window.partitionBy("doc_id").orderBy("position")
+
+
+def up_to() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def from_here() -> WindowSpec:
+    return in_order().rowsBetween(0, Window.unboundedFollowing)
 
 
 def _with_image_position(image: Column, position: Column) -> Column:
@@ -19,7 +31,7 @@ def _with_image_position(image: Column, position: Column) -> Column:
 
 def renumber(elements: DataFrame) -> DataFrame:
     """Positions from 0 without gaps, in order; an image's own position follows, its id stays."""
-    dense = elements.withColumn("position", (F.row_number().over(ORDER) - 1).cast("int"))
+    dense = elements.withColumn("position", (F.row_number().over(in_order()) - 1).cast("int"))
     return dense.withColumn("image", _with_image_position(F.col("image"), F.col("position")))
 
 
@@ -30,13 +42,13 @@ def merge_soft_wrapped(elements: DataFrame) -> DataFrame:
     closing punctuation, and, in quotes, the later one opens no speaker turn. A joined text ends as its last piece
     does, so the condition looks at adjacent rows only: breaks are marked, islands numbered and each one put together in order.
     """
-    previous_text, previous_type = F.lag("text").over(ORDER), F.lag("type").over(ORDER)
+    previous_text, previous_type = F.lag("text").over(in_order()), F.lag("type").over(in_order())
     joins = (
         (previous_type == F.col("type")) & F.col("type").isin("narration", "quote")
         & (F.coalesce(previous_text, F.lit("")) != "") & (F.coalesce(F.col("text"), F.lit("")) != "")
         & ~is_terminal(previous_text) & ~((F.col("type") == "quote") & is_speaker_turn(F.col("text")))
     )
-    marked = elements.withColumn("_starts", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_starts").over(UP_TO))
+    marked = elements.withColumn("_starts", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_starts").over(up_to()))
     pieces = F.array_sort(F.collect_list(F.struct("position", "text")))
     trimmed = F.transform("_pieces", lambda p, i: F.regexp_replace(F.when(i > 0, F.regexp_replace(p["text"], rf"\A[{SPACE}]+", "")).otherwise(p["text"]), F.when(i < F.size("_pieces") - 1, F.lit(rf"[{SPACE}]+\z")).otherwise(F.lit(r"\z\A")), F.lit("")))
     islands = (
@@ -50,8 +62,8 @@ def merge_soft_wrapped(elements: DataFrame) -> DataFrame:
 def quote_blocks(elements: DataFrame) -> DataFrame:
     """``elements`` with ``block`` (null outside quotes): the number of the maximal run of quotes that a row is in, from 1."""
     is_quote = F.col("type") == "quote"
-    starts = is_quote & ~F.coalesce(F.lag("type").over(ORDER) == "quote", F.lit(False))
-    return elements.withColumn("block", F.when(is_quote, F.sum(starts.cast("int")).over(UP_TO)))
+    starts = is_quote & ~F.coalesce(F.lag("type").over(in_order()) == "quote", F.lit(False))
+    return elements.withColumn("block", F.when(is_quote, F.sum(starts.cast("int")).over(up_to())))
 
 
 def with_neighbours(elements: DataFrame) -> DataFrame:
@@ -61,15 +73,15 @@ def with_neighbours(elements: DataFrame) -> DataFrame:
     """
     blocks = quote_blocks(elements)
     outside = F.when(F.col("type") != "quote", F.struct("position", "type"))
-    after_block = F.first(outside, ignorenulls=True).over(FROM_HERE)
-    following = F.struct(F.lead("position").over(ORDER).alias("position"), F.lead("type").over(ORDER).alias("type"))
+    after_block = F.first(outside, ignorenulls=True).over(from_here())
+    following = F.struct(F.lead("position").over(in_order()).alias("position"), F.lead("type").over(in_order()).alias("type"))
     return blocks.withColumn("after", F.when(F.col("type") == "quote", after_block).otherwise(following))
 
 
 def nearest_image(elements: DataFrame) -> DataFrame:
     """``elements`` with ``image_near``: id and position of the nearest image on either side, the earlier of two as near; null without images."""
     here = F.when((F.col("type") == "image") & F.col("image").isNotNull(), F.struct(F.col("image.image_id").alias("image_id"), F.col("position").alias("position")))
-    earlier, later = F.last(here, ignorenulls=True).over(UP_TO), F.first(here, ignorenulls=True).over(FROM_HERE)
+    earlier, later = F.last(here, ignorenulls=True).over(up_to()), F.first(here, ignorenulls=True).over(from_here())
     nearer = F.when(later.isNull(), earlier).when(earlier.isNull(), later).when(F.col("position") - earlier["position"] <= later["position"] - F.col("position"), earlier).otherwise(later)
     return elements.withColumn("image_near", nearer)
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import similarity as S
 from tracewell.functions import text as X
-from tracewell.operators import citations, evidence, quotes, render, runs, sequence
+from tracewell.operators import citations, evidence, quotes, render, runs, sequence, spans
+from tracewell.plans import assemble
 from tracewell.plans.fixtures import articles
+from tracewell.sources import html
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -232,6 +234,40 @@ def fuzzy_coverage(spark, sf_dir):
     return _links(spark, sf_dir).select("doc_id", "quote_id", F.round(S.coverage(unit, span), 6).alias("coverage"), S.fuzzy_matches(unit, span).alias("n_matched"))
 
 
+def html_paragraphs(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    return html.extract_html(pages).select("doc_id", "position", "type", "text")
+
+
+def _colored(level):
+    def claim_spans(spark, sf_dir):
+        return spans.explode_spans(spans.color_claims(_links(spark, sf_dir), level))
+
+    claim_spans.__name__ = f"claim_spans_{level}"
+    return claim_spans
+
+
+def _analysis(spark, sf_dir, level="medium"):
+    return assemble.analyse(_elements(spark, sf_dir), level)
+
+
+def ner_links(spark, sf_dir):
+    return spans.ner_links(_analysis(spark, sf_dir).links)
+
+
+def render_runs(spark, sf_dir):
+    return render.quote_runs(_analysis(spark, sf_dir).links)
+
+
+def render_plan(spark, sf_dir):
+    found = _analysis(spark, sf_dir)
+    return render.render_plan(found.elements, found.links, found.groups).select("doc_id", "seq", "kind", "text", "anchor", "link")
+
+
+def assembled_json(spark, sf_dir):
+    return assemble.to_json(assemble.assemble(_analysis(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -239,6 +275,6 @@ QUERIES = {
         soft_wrap_merge, dense_positions, citation_groups, citation_group_image_counts, segment_matches, segment_score_histogram, confidence_filter, run_summary,
         quote_blocks, quote_descriptions, quote_links, nearest_image, heading_like_lines, images_by_text, tokens_content, jaccard_pairs, query_overlap_topk,
         cosine_topk, page_margin_accept, needs_ocr, shell_lines, span_score, target_groups, run_history_topk, latest_run, borrow_lookback, quote_part_offsets,
-        fingerprint_theta_join, fuzzy_coverage,
+        fingerprint_theta_join, fuzzy_coverage, html_paragraphs, *map(_colored, ("minimal", "medium", "maximum", "dense")), ner_links, render_runs, render_plan, assembled_json,
     )
 }

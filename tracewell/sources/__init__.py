@@ -1 +1 @@
-"""Subpackage of the evidence-linking engine."""
+"""Readers of articles."""
