@@ -182,7 +182,7 @@ class LineStore:
             if not ids.isEmpty():
                 postings = self.scratch.save(postings.distinct(), f"{version}-distinct")
         else:
-            postings = self.scratch.save(self.postings.union(fresh).distinct(), version)
+            postings = self.scratch.save(self.postings.unionByName(fresh).distinct(), version)
         return self._derive(postings)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:

@@ -207,6 +207,8 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits).
 
+    No records give no archives; a file without bytes, as the sink may leave one, is passed over.
+
     A response's size and digest are those of the payload read, and it is an error if they aren't the ones its
     headers state; a revisit's come from its headers.
     """
@@ -234,7 +236,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, schema)
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(unpack, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
