@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import citations, quotes, render, runs, sequence, spans
+from tracewell.operators import citations, evidence, quotes, render, runs, sequence, spans
 from tracewell.plans.assemble import analyse, assemble, submit_kind, to_json
 from tracewell.schema import ELEMENTS
 from tracewell.sources import docx, html
@@ -105,6 +105,17 @@ def test_assembly_and_docx(spark, tmp_path):
     assert QUOTE in " ".join(r.text for r in again)
 
 
+def test_pages_replace_images(spark):
+    given = elements(spark, ("image", None), ("citation", CITE), ("citation", "(Nothing Known Here, Elsewhere, p. 9, 1931)"))
+    groups = citations.build_citation_groups(given)
+    image = "struct<image_id:string,src:string,position:int,thumbnail_base64:string>"
+    pages = spark.createDataFrame([(1, 1, "The Nile. Times Journal, vol. 3, 1952", ("p1", "f#1", 0, None)), (1, 2, "Some other page of 1952", ("p2", "f#2", 1, None)), (2, 1, "The Nile, Times Journal, vol. 3, 1952", ("p3", "g", 0, None))], f"doc_id bigint, page_number int, text string, image {image}")
+    out = {r.citation_id: [i.image_id for i in r.images] for r in evidence.match_pdf_pages(groups, pages).collect()}
+    assert out == {"citation_1": ["p1"], "citation_2": []}
+    picks = spark.createDataFrame([(1, "citation_1", 2, 0.9)], "doc_id bigint, citation_id string, page_number int, confidence double")
+    assert {r.citation_id: len(r.images) for r in evidence.match_pdf_pages(groups, pages, picks).collect()} == {"citation_1": 1, "citation_2": 0}
+
+
 def test_runs(spark):
     log = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "run_id string, created_at int")
     assert [r.run_id for r in runs.history(log, 2).collect()] == ["b", "c"] and runs.history(log, 0).count() == 1

@@ -81,15 +81,14 @@ def page_forms(pages: DataFrame) -> DataFrame:
     full = F.replace(F.coalesce(F.nullif("text", F.lit("")), F.col("image.src"), F.lit("")), F.lit("\n"), F.lit(" "))
     return pages.withColumn("page_full", full).withColumns({
         "page_upper": F.upper("page_full"), "page_norm": join_key(F.col("page_full")), "page_compact": compact(F.col("page_full")), "page_ranked": F.left("page_full", F.lit(2000)),
-    })
+    }).withColumn("page_words", F.array_distinct(F.split("page_norm", r"[^\p{L}\p{N}_]+"))).withColumn("page_tokens", page_tokens(F.col("page_ranked")))
 
 
 def _present(tokens: Column) -> Column:
     """Whether one of the tokens is on the page: plain ones as whole words, others in any form."""
-    words = F.split("page_norm", r"[^\p{L}\p{N}_]+")
     plain = F.filter(tokens, lambda t: t.rlike(r"\A[a-z0-9]+\z"))
     marked = F.filter(tokens, lambda t: ~t.rlike(r"\A[a-z0-9]+\z"))
-    return F.arrays_overlap(words, plain) | F.exists(marked, lambda t: ((compact(t) != "") & F.contains(F.col("page_compact"), compact(t))) | F.contains(F.col("page_norm"), t))
+    return F.arrays_overlap("page_words", plain) | F.exists(marked, lambda t: ((compact(t) != "") & F.contains(F.col("page_compact"), compact(t))) | F.contains(F.col("page_norm"), t))
 
 
 def page_bears() -> Column:
@@ -108,7 +107,9 @@ def bearing_pages(groups: DataFrame, pages: DataFrame) -> DataFrame:
     An equi-join on the document, so that pairs are made within a document only; the fingerprint is its other condition.
     """
     marked = fingerprint(groups).where(F.size("years") + F.size("surnames") + F.size("acronyms") + F.size("doc_numbers") + F.size("outlet_phrase") > 0)
-    return marked.join(page_forms(pages).drop("text"), "doc_id").where(page_bears())
+    # what belongs to one side is computed before the join, not for each pair
+    asked = marked.withColumn("query_tokens", page_tokens(citation_query()))
+    return asked.join(page_forms(pages).drop("text"), "doc_id").where(page_bears())
 
 
 def citation_query() -> Column:
@@ -118,16 +119,15 @@ def citation_query() -> Column:
     return F.left(F.trim(joined), F.lit(2000))
 
 
-def hashed_vector(tokens: Column, size: int = 64) -> Column:
-    """A vector of token counts by hash: the offline stand-in for an embedding."""
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+def token_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two token sets as vectors of zeros and ones: the offline stand-in for that of embeddings."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b))).otherwise(F.lit(0.0))
 
 
 def rank_pages(pairs: DataFrame, query_vector: Column | None = None, page_vector: Column | None = None, keep: int = SHORTLIST) -> DataFrame:
-    """The best pages of each citation: score (weighted cosine and token overlap) and rank, ties to the earlier page."""
-    query, page = page_tokens(citation_query()), page_tokens(F.col("page_ranked"))
-    similar = cosine(query_vector if query_vector is not None else hashed_vector(query), page_vector if page_vector is not None else hashed_vector(page))
+    """The best pages of each citation: score (weighted cosine and token overlap) and rank, ties to the earlier page. Columns of embeddings may be given; else the cosine is that of the token sets."""
+    query, page = F.col("query_tokens"), F.col("page_tokens")
+    similar = token_cosine(query, page) if query_vector is None or page_vector is None else cosine(query_vector, page_vector)
     scored = pairs.withColumn("score", COSINE_WEIGHT * similar + OVERLAP_WEIGHT * query_overlap(query, page))
     rank = F.row_number().over(Window.partitionBy("doc_id", "citation_id").orderBy(F.desc("score"), "page_number"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= keep)
