@@ -152,7 +152,8 @@ def resolve(
         held = labels.join(meets.select(F.col("hub").alias("comp")).distinct(), "comp", "left_semi").select("id", F.col("comp").alias("hub"))
         labels = merge(scratch.save(compare(meets, held), "links-1"), 1)
         opened = opened.where("hub is null or comp <> hub").drop("comp", "hub").join(labels, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        opened = scratch.save(opened, "opened-last")
+        left = opened.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        opened = scratch.save(scratch.save(opened, "opened-left").join(left, "bucket", "left_semi"), "opened-last")
 
     if sift is not None:
         pairs = sift(opened)

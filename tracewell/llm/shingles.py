@@ -45,5 +45,5 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(width, len(h)), np.uint64)
     for i in range(min(width, len(h))):
-        out = mix(out ^ h[i : i + n]) + np.uint64(i)
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return mix(out)
