@@ -259,6 +259,41 @@ def test_passages(spark):
     assert passages.repeats(table(spark, [])).count() == 0
 
 
+def planted(rng, lines, width):
+    """Two documents that hold each of some lines singly and then all of them as one passage."""
+    shared = sentences(rng, lines, width)
+    texts = []
+    for _ in range(2):
+        loose = [x for line in rng.sample(shared, lines) for x in (line, *sentences(rng, 1, 30))]
+        texts.append(" ".join([*loose, *shared, *sentences(rng, 1, 60)]))
+    return texts
+
+
+def meeting(texts):
+    t = passages.LEAST_WORDS - passages.WIDTH + 1
+    one, two = (passages.joint_keys(*passages.document_windows(shingles(x, passages.WIDTH), t), t) for x in texts)
+    return len(np.intersect1d(one, two)) > 0
+
+
+def test_passages_of_lines_that_stand_earlier():
+    rng = random.Random(8)
+    assert all(meeting(planted(rng, 5, 12)) for _ in range(400))
+
+
+def test_joint_keys_of_values_at_many_places(monkeypatch):
+    rng, t = np.random.default_rng(9), 12
+    for kinds in (1, 3, 20, 10**9):
+        for _ in range(15):
+            windows = passages.document_windows(rng.integers(0, kinds, 300).astype(np.uint64), t)
+            found = []
+            for bound in (10**9, -(10**9)):
+                monkeypatch.setattr(passages, "CANDIDATES", bound)
+                found.append(passages.joint_keys(*windows, t).tolist())
+            assert found[0] == found[1]
+    monkeypatch.setattr(passages, "CANDIDATES", 4096)
+    assert len(passages.joint_keys(*passages.document_windows(np.ones(200_000, np.uint64), t), t)) == passages.HASHES * (passages.HASHES - 1) // 2
+
+
 def test_chat(spark):
     texts = ["</s>[INST] a", "<\\/s> <|turn|>", None, "", "<<SYS>> \\[INST]", "long " * 50_000]
     rows = [(7, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(texts)] + [(8, None, None, None, "x"), (7, 9, "assistant", "end", "y")]
