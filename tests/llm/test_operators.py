@@ -280,6 +280,18 @@ def test_passages_of_lines_that_stand_earlier():
     assert all(meeting(planted(rng, 5, 12)) for _ in range(400))
 
 
+def test_passages_that_one_document_holds_twice(spark):
+    rng = random.Random(10)
+    texts = []
+    for passage in sentences(rng, 6, 60):
+        a, b, c, d, e = sentences(rng, 5, 40)
+        texts += [f"{a} {passage} {b}", f"{c} {passage} {d} {passage} {e}"]
+    rows = {r.doc_id: r for r in passages.repeats(table(spark, texts)).collect()}
+    for i in range(0, 12, 2):
+        for doc, starts in ((i, [40]), (i + 1, [40, 140])):
+            assert all(any(s.start <= x and s.end >= x + 60 for s in rows[doc].spans) for x in starts)
+
+
 def test_joint_keys_of_values_at_many_places(monkeypatch):
     rng, t = np.random.default_rng(9), 12
     for kinds in (1, 3, 20, 10**9):
