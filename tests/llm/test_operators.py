@@ -292,6 +292,26 @@ def test_passages_that_one_document_holds_twice(spark):
             assert all(any(s.start <= x and s.end >= x + 60 for s in rows[doc].spans) for x in starts)
 
 
+def repeated_words(texts, n):
+    """For each document its words that lie in exact repeats of n words with an unequal one."""
+    held, split = defaultdict(set), [tuple(x.split()) for x in texts]
+    for w in split:
+        for i in range(len(w) - n + 1):
+            held[w[i : i + n]].add(w)
+    return [{j for i in range(len(w) - n + 1) if len(held[w[i : i + n]]) > 1 for j in range(i, i + n)} for w in split]
+
+
+def test_every_exact_repeat_is_in_spans(spark):
+    rng = random.Random(13)
+    (linked,), (line,), texts = sentences(rng, 1, 60), sentences(rng, 1, 45), []
+    for own in sentences(rng, 40, 8):  # one component by a passage; a line of all, too short for one, is most of what two of them share besides
+        texts += [" ".join([*sentences(rng, 1, 30), linked, *sentences(rng, 1, 30), line, own, *sentences(rng, 1, 40)]) for _ in range(2)]
+    rows = {r.doc_id: r.spans for r in passages.repeats(table(spark, texts)).collect()}
+    expected = repeated_words(texts, passages.LEAST_WORDS)
+    lost = [len(words - {j for s in rows.get(i, ()) for j in range(s.start, s.end)}) for i, words in enumerate(expected)]
+    assert sum(map(len, expected)) > 1000 and sum(lost) == 0, (sum(lost), sum(map(len, expected)))
+
+
 def test_joint_keys_of_values_at_many_places(monkeypatch):
     rng, t = np.random.default_rng(9), 12
     for kinds in (1, 3, 20, 10**9):

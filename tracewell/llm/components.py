@@ -112,13 +112,15 @@ def resolve(
     verify: Callable[[DataFrame, int], DataFrame],
     compare: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     sift: Callable[[DataFrame], DataFrame] | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The component (least id) of the ids in ``buckets`` (bucket, id): columns id, comp. Ids without a link have no row.
 
     ``verify`` takes pairs (a, b), a < b, with the number of the round, and returns those that are links. ``compare``
     takes ids with the hubs that they meet (id, hub) and the hubs' members (id, hub); it returns links (a, b), one for
     each id and hub that are linked at least. Without it hubs are compared pair by pair. ``sift`` may make the last
-    pairs out of open buckets (bucket, id, comp): at least all pairs of different components that may be links.
+    pairs out of open buckets (bucket, id, comp): at least all pairs of different components that may be links. ``known``
+    are links (a, b) that need no check; they join components at the end and spare no pair its check.
     """
     spark = scratch.spark
     labels = scratch.save(spark.createDataFrame([], "id bigint, comp bigint"), "labels-0")
@@ -133,6 +135,9 @@ def resolve(
         fresh = roots.select(F.col("node").alias("id"), F.col("root").alias("comp")).join(labels, "id", "left_anti")
         return scratch.save(moved.unionByName(fresh), f"labels-{turn + 1}")
 
+    def finish() -> DataFrame:
+        return labels if known is None else merge(known, 3)
+
     pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"))
     pairs = scratch.save(buckets.join(pivots, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs-0")
     labels = merge(scratch.save(verify(pairs, 0), "links-0"), 0)
@@ -142,7 +147,7 @@ def resolve(
     bounds = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     opened = scratch.save(members.join(bounds, "bucket"), "opened")
     if opened.isEmpty():
-        return labels
+        return finish()
     if compare is not None:
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= HUB_SIZE)
         parts = opened.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).join(sizes, "comp")
@@ -162,4 +167,5 @@ def resolve(
         other = opened.select(F.col("bucket").alias("y_bucket"), F.col("id").alias("y"), F.col("comp").alias("y_comp"))
         met = mine.join(other, (F.col("bucket") == F.col("y_bucket")) & (F.col("x_comp") < F.col("y_comp")))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return merge(scratch.save(verify(scratch.save(pairs.distinct(), "pairs-2"), 2), "links-2"), 2)
+    labels = merge(scratch.save(verify(scratch.save(pairs.distinct(), "pairs-2"), 2), "links-2"), 2)
+    return finish()
