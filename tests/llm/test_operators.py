@@ -312,6 +312,20 @@ def test_every_exact_repeat_is_in_spans(spark):
     assert sum(map(len, expected)) > 1000 and sum(lost) == 0, (sum(lost), sum(map(len, expected)))
 
 
+def test_edited_passages_meet():
+    rng, t = random.Random(14), passages.LEAST_WORDS - passages.WIDTH + 1
+    similar = missed = 0
+    for _ in range(2500):
+        base = sentences(rng, 1, rng.randrange(51, 56))[0].split()
+        edited = base.copy()
+        edited[rng.randrange(len(base))] = "edited"
+        one, two = ({*shingles(" ".join(x), passages.WIDTH).tolist()} for x in (base, edited))
+        if len(one & two) >= passages.SIMILARITY * len(one | two):  # by brute force
+            texts = [" ".join([*sentences(rng, 1, 40), *x, *sentences(rng, 1, 40)]) for x in (base, edited)]
+            similar, missed = similar + 1, missed + (not meeting(texts))
+    assert similar > 2000 and missed <= 2, (missed, similar)
+
+
 def test_joint_keys_of_values_at_many_places(monkeypatch):
     rng, t = np.random.default_rng(9), 12
     for kinds in (1, 3, 20, 10**9):
