@@ -61,6 +61,34 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(15)
+    rows = [[float(np.float32(x)) for x in rng.normal(size=4) * rng.choice([1, 4096, 3e5])] for _ in range(300)]
+    rows += [[float(np.float32(x)) for x in [2.0**20, 1e5 + i / 128, -(2.0**20), 1.0]] for i in range(20)]  # near ties of large terms
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<float>")
+    got = defaultdict(list)
+    for r in topk.search(df, F.col("vec_id") % 10 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = [[int(np.floor(256 * x)) for x in v] for v in rows]
+    for q in range(0, len(rows), 10):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in best]
+    beyond = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="beyond bigint"):
+        topk.search(beyond, F.lit(True), 5).collect()
+
+
+def test_scan_against_whole_numbers():
+    rng = np.random.default_rng(16)
+    rows = np.floor(rng.normal(size=(200, 3)) * 2.0**40) * 2.0 ** rng.integers(0, 3, (200, 1))
+    rows[100:] = rows[:100]
+    query = np.floor(rng.normal(size=3) * 2.0**40)
+    block = topk.Block(np.arange(200), rows, topk.Block.sort(rows))
+    expected = sorted((-sum(int(x) * int(y) for x, y in zip(row, query)), i) for i, row in enumerate(rows) if i != 7)[:9]
+    ids, scores, _ = block.search(query, 9, 7)
+    assert list(zip(ids.tolist(), scores.tolist())) == [(i, -s) for s, i in expected]
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = sentences(rng, 60)

@@ -5,6 +5,8 @@ lists are read in step, from the end that the sign of the query's component pref
 are scored whole. No unmet row can beat the bound, the inner product of the query with the components last read.
 Reading stops when the k-th best score is above the bound (at equality an unmet row of smaller id might still win).
 The best k of each block are merged. The result is exact; how far the lists are read depends on the data alone.
+Where components are too large for sums that doubles hold exactly, doubles only bound the scores, and the rows that may
+be among the best are scored in whole numbers.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ from tracewell.llm.common import Scratch
 BLOCK_ROWS = 8192
 #: Queries of a block.
 BLOCK_QUERIES = 256
-#: Components must be below this in absolute value: all scores are then exact in doubles.
+#: Vectors with a component of this absolute value or more lie in blocks of their own, so that others stay exact in doubles.
 LIMIT = 1 << 20
+#: Doubles hold all whole numbers up to this absolute value.
+EXACT = 1 << 53
+#: The largest score of the result.
+TOP = (1 << 63) - 1
 
 
 class Block:
@@ -30,6 +36,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, lists: np.ndarray):
         self.ids, self.rows, self.lists = ids, rows.astype(np.float64), lists
+        self.largest = float(np.abs(self.rows).max(initial=0))
         self.sorted = np.take_along_axis(self.rows.T, lists.astype(np.int64), 1)
 
     @staticmethod
@@ -39,6 +46,8 @@ class Block:
 
     def search(self, query: np.ndarray, k: int, skip: int, first: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the best k rows (ties to the smaller id) other than ``skip``, and the depth to which the lists were read."""
+        if not len(query) * self.largest * float(np.abs(query).max(initial=0)) < EXACT:
+            return self.scan(query, k, skip)
         n, used = len(self.ids), np.flatnonzero(query)
         weights, falling = query[used], query[used] > 0
         seen = self.ids == skip
@@ -60,6 +69,21 @@ class Block:
             return *self.best(self.ids[~seen], np.zeros((~seen).sum()), k), 0
         return ids, scores, depth
 
+    def scan(self, query: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """As ``search``, with scores as Python's integers: of all rows, those whose score may be among the best by the error that doubles can have."""
+        with np.errstate(all="ignore"):
+            about, slack = self.rows @ query, np.abs(self.rows) @ np.abs(query) * (len(query) + 2) * 2.0**-52
+            low, high = about - slack, about + slack
+        open_ = ~(np.isfinite(low) & np.isfinite(high))
+        low[open_], high[open_] = -np.inf, np.inf
+        chosen = self.ids != skip
+        if chosen.sum() > k:
+            chosen &= high >= np.sort(low[chosen])[-k]
+        whole = [int(x) for x in query.tolist()]
+        scores = [sum(int(x) * y for x, y in zip(row, whole)) for row in self.rows[chosen].tolist()]
+        best = sorted(zip(scores, self.ids[chosen].tolist()), key=lambda x: (-x[0], x[1]))[:k]
+        return np.array([i for _, i in best], np.int64), np.array([x for x, _ in best], object), len(self.ids)
+
     @staticmethod
     def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, -scores))[:k]
@@ -67,24 +91,33 @@ class Block:
 
 
 def quantise(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, x as double; null for a vector that is null, empty, or holds a null, a non-finite or a huge component."""
-    parts = F.transform(vector, lambda x: x.cast("double") * scale)
-    sound = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(LIMIT)))
-    return F.when(F.size(vector) > 0, F.when(sound, F.transform(parts, lambda x: F.floor(x).cast("int"))))
+    """floor(scale * x) of each component as a double, which holds it exactly; null for a vector that is null, empty, or holds a null or a non-finite component.
+
+    A component that no double holds after scaling (beyond 7e305, so no float) is an error.
+    """
+    parts = F.transform(vector, lambda x: x.cast("double"))
+    sound = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    huge = F.raise_error(F.lit("a component is too large to be scaled")).cast("double")
+
+    def floor(x):  # from 2^53 on doubles are whole numbers
+        return F.when(F.abs(x) < float(EXACT), F.floor(x).cast("double")).when(F.abs(x) < float("inf"), x).otherwise(huge)
+
+    return F.when(F.size(vector) > 0, F.when(sound, F.transform(parts, lambda x: floor(x * scale))))
 
 
 def _blocks(vectors: DataFrame, rows: int, lists: bool) -> DataFrame:
-    """Pack (id, v) rows of a partition into blocks of equal dimension."""
+    """Pack (id, v) rows of a partition into blocks of equal dimension, those with large components apart."""
 
     def pack(batches):
         task, serial = TaskContext.get().partitionId(), 0
-        held: dict[int, list[tuple[int, list[int]]]] = {}
+        held: dict[tuple[int, bool], list[tuple[int, list[float]]]] = {}
 
-        def emit(dim):
+        def emit(kind):
             nonlocal serial
             serial += 1
-            ids, m = zip(*held.pop(dim))
-            m = np.array(m, np.int32)
+            dim = kind[0]
+            ids, m = zip(*held.pop(kind))
+            m = np.array(m, np.float64)
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([task << 32 | serial], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "rows": pa.array([m.tobytes()], pa.binary()), "lists": pa.array([Block.sort(m).tobytes() if lists else b""], pa.binary()),
@@ -92,11 +125,12 @@ def _blocks(vectors: DataFrame, rows: int, lists: bool) -> DataFrame:
 
         for batch in batches:
             for i, v in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == rows:
-                    yield emit(len(v))
-        for dim in list(held):
-            yield emit(dim)
+                kind = len(v), max(max(v), -min(v)) >= LIMIT
+                held.setdefault(kind, []).append((i, v))
+                if len(held[kind]) == rows:
+                    yield emit(kind)
+        for kind in list(held):
+            yield emit(kind)
 
     return vectors.mapInArrow(pack, "block bigint, dim int, ids binary, rows binary, lists binary")
 
@@ -107,7 +141,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
     Rows without id and unsound vectors (see ``quantise``) take no part. Rows of equal id are one record, with the
     least of their vectors. Only vectors of the query's dimension are its candidates; fewer than k give fewer rows.
     Query blocks are sent to every row block by an equi-join on the row block's number; only the best k of a pair of
-    blocks for each query leave it.
+    blocks for each query leave it. A score of the result that no bigint holds is an error.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
@@ -125,13 +159,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
             for at in range(batch.num_rows):
                 dim, ids, m, lists, q_ids, q = (c[at].as_py() for c in batch.columns)
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                block = Block(ids, np.frombuffer(m, np.int32).reshape(-1, dim), np.frombuffer(lists, np.uint16).reshape(dim, -1))
+                block = Block(ids, np.frombuffer(m, np.float64).reshape(-1, dim), np.frombuffer(lists, np.uint16).reshape(dim, -1))
                 out = []
-                for query_id, query in zip(q_ids.tolist(), np.frombuffer(q, np.int32).reshape(-1, dim).astype(np.float64)):
+                for query_id, query in zip(q_ids.tolist(), np.frombuffer(q, np.float64).reshape(-1, dim)):
                     found, scores, _ = block.search(query, k, query_id)
-                    out.append((np.full(len(found), query_id), found, scores.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    beyond = np.array([(x > TOP) - (x < -TOP - 1) for x in scores.tolist()], np.int64)
+                    held = np.array([min(max(int(x), -TOP - 1), TOP) for x in scores.tolist()], np.int64)
+                    out.append((np.full(len(found), query_id), found, held, beyond))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score", "beyond"])
+
+    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, beyond bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
+    score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond bigint")).cast("bigint"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
