@@ -259,6 +259,18 @@ def test_sketch_merges_and_estimates():
     assert neardup.plausible(near[:1], near[1:], sizes[0], sizes[0], 0.8)[0] and not neardup.plausible(far[:1], far[1:], sizes[1], sizes[1], 0.8)[0]
 
 
+def test_few_linked_pairs_are_lost():
+    assert (1 - 0.8**neardup.BAND_REGISTERS) ** neardup.BANDS < 2e-5
+    n = neardup.BANDS * neardup.BAND_REGISTERS
+    one = np.full((3, n), 1000, "<u2")
+    two = one.copy()
+    for row, z in zip(two, (0, 4.8, 8)):  # fewer equal registers than expected at similarity 0.8, by so many standard deviations
+        differ = round(0.2 * n + z * (0.16 * n) ** 0.5)
+        row[:differ] += np.resize(np.array([1, -1]), differ).astype("<u2")
+    size = np.full(3, 500.0)
+    assert neardup.plausible(one, two, size, size, 0.8).tolist() == [True, True, False]
+
+
 def test_compact_windows_against_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(200):

@@ -22,10 +22,10 @@ from tracewell.llm.shingles import mix, shingles
 
 #: SetSketch parameters: base, rate, and the largest register less one.
 BASE, RATE, CAP = 1.001, 20.0, 65_534
-#: 48 bands of 8 registers: a pair at similarity 0.8 is missed with probability 1.5e-4, one at 0.85 with 1e-6; one at 0.1 is met with 5e-7.
-BANDS, BAND_REGISTERS = 48, 8
+#: 60 bands of 8 registers: a pair at similarity 0.8 is missed with probability 1.6e-5, one at 0.85 with 5e-9; one at 0.1 is met with 6e-7.
+BANDS, BAND_REGISTERS = 60, 8
 #: How much less likely the threshold must be than the best similarity for a candidate to be put aside (natural logarithm).
-DOUBT = 8.0
+DOUBT = 14.0
 #: Documents of a block when a hub is compared with what meets it.
 BLOCK = 512
 #: Shingles hashed at a time; they and their products stay in the processor's cache.
