@@ -208,6 +208,35 @@ def test_decontamination(spark):
     assert clean == set(range(len(texts))) - {d for d, _ in found} and decontam.keep_clean(df, bench).columns == df.columns
 
 
+def test_short_and_unnamed_items(spark):
+    rng = random.Random(17)
+    items = ["what is the capital of peru", "largest planet", *sentences(rng, 6, 5), "art"]
+    texts = sentences(rng, 8, 40)
+    texts += [f"so {edits(rng, item, rng.randrange(4))} then" for item in items for _ in range(12)]
+    texts += ["was what is the capitol of peru asked", "the largest planets are", "enlargest planet", "smart part", "our art"]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    expected = {}
+    for d, text in enumerate(texts):
+        w = decontam.normalise(text).split()
+        for n, item in enumerate(map(decontam.normalise, items)):
+            some = (" ".join(w[a:b]) for a in range(len(w)) for b in range(a + 1, min(len(w), a + 10) + 1))
+            least = min((distance(item, x) for x in some if abs(len(x) - len(item)) <= len(item) // 10), default=99)
+            if least <= len(item) // 10:
+                expected[d, n] = least
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.distance for r in decontam.matches(table(spark, texts), bench).collect()} == expected
+    unnamed = bench.select(F.lit(None).cast("bigint").alias("item_id"), "text")
+    assert {r.doc_id for r in decontam.keep_clean(table(spark, texts), unnamed).collect()} == set(range(len(texts))) - {d for d, _ in expected}
+
+
 def brute_components(texts, width, percent):
     sets = {i: set(shingles(t, width).tolist()) for i, t in enumerate(texts)}
     root = {i: i for i in sets}

@@ -18,7 +18,7 @@ from tracewell.llm.common import row_type
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
-#: Items of fewer normalised characters are sought unchanged, as whole words.
+#: Items of fewer normalised characters are sought as whole words.
 MIN_CHARS = 40
 #: Characters of items that one pass looks for; more items take more passes.
 PASS_CHARS = 4_000_000
@@ -71,8 +71,8 @@ class Item:
     piece that is hit is checked against ever larger nodes and given up at the first that isn't there.
     """
 
-    def __init__(self, text: str, budget: int):
-        self.text, self.budget = text, budget
+    def __init__(self, text: str, budget: int, words: bool = False):
+        self.text, self.budget, self.words = text, budget, words
         self.cuts = pieces(len(text), budget)
         self.nodes: dict[tuple[int, int], Pattern] = {}
 
@@ -97,7 +97,22 @@ class Item:
             if best > allowed:
                 return None
             end += a
-        return best, end
+        return self.whole_words(doc, at - self.cuts[leaf]) if self.words else (best, end)
+
+    def whole_words(self, doc: str, at: int) -> tuple[int, int] | None:
+        """As ``verify``, of passages that begin near ``at`` and both begin and end where a word does."""
+        n, found = len(self.text), []
+        for start in range(max(1, at - self.budget), at + self.budget + 1):
+            if doc[start - 1 : start] != " ":
+                continue
+            row = list(range(n + 1))
+            for end, c in enumerate(doc[start : start + n + self.budget], start + 1):
+                last, row[0] = row[0], end - start
+                for i, x in enumerate(self.text, 1):
+                    last, row[i] = row[i], min(last + (x != c), row[i] + 1, row[i - 1] + 1)
+                if doc[end : end + 1] == " " and row[n] <= self.budget:
+                    found.append((row[n], end))
+        return min(found, default=None)
 
 
 class Matcher:
@@ -111,8 +126,8 @@ class Matcher:
         for item_id, text in items:
             if not (text := normalise(text)):
                 continue
-            budget = int(rate * len(text)) if len(text) >= MIN_CHARS else 0
-            item = Item(text if budget else f" {text} ", budget)
+            budget = int(rate * len(text))
+            item = Item(text if budget else f" {text} ", budget, bool(budget) and len(text) < MIN_CHARS)
             for leaf, (a, b) in enumerate(zip(item.cuts, item.cuts[1:])):
                 found.setdefault(item.text[a:b], []).append((len(self.items), leaf))
             self.items.append((item_id, item))
@@ -148,9 +163,10 @@ def _passes(items: DataFrame) -> list[Column]:
     return [F.pmod(F.xxhash64("item_id"), F.lit(n)) == i for i in range(n)]
 
 
-def _matcher(items: DataFrame, chosen: Column):
-    """The items of a pass, of bounded size, for every executor."""
-    rows = [(r.item_id, r.text) for r in items.where("item_id is not null and text is not null").where(chosen).select("item_id", "text").distinct().collect()]
+def _matcher(items: DataFrame, chosen: Column, unnamed: bool = False):
+    """The items of a pass, of bounded size, for every executor; those without id only if ``unnamed``."""
+    named = F.lit(True) if unnamed else F.col("item_id").isNotNull()
+    rows = [(r.item_id, r.text) for r in items.where(named).where("text is not null").where(chosen).select("item_id", "text").distinct().collect()]
     return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
 
@@ -193,10 +209,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs``, all its columns, without the documents that hold an item. No shuffle."""
+    """``docs``, all its columns, without the documents that hold an item, be it one without id. No shuffle."""
     columns = docs.columns
     for chosen in _passes(items):
-        shared = _matcher(items, chosen)
+        shared = _matcher(items, chosen, unnamed=True)
         packed = docs.select(F.col("text").alias("text"), F.struct(*columns).alias("row"))
 
         def run(batches, shared=shared):
