@@ -44,14 +44,16 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], carry: Sequenc
     Returns the columns ``shard``, ``order``, ``carry`` and ``slot`` (long). ``carry`` must depend on the other columns only.
     Equal rows are counted before any shuffle, then spread over consecutive slots, so a repeated row is one
     narrow record whatever its count. Rows are dealt by ranges of ``order``, as many as the session has shuffle
-    partitions; a shard is numbered range by range and no task holds more than one range of one shard.
+    partitions; a shard is numbered range by range and no task holds more than one range of one shard. The ranges
+    are written in as many files as the cluster has cores.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "slots")
     columns = [shard, *order, *carry]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    dealt = scratch.save(counted.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = counted.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    dealt = scratch.save(dealt.coalesce(min(ranges, spark.sparkContext.defaultParallelism)), "ranges")
     before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(shard, "_range").agg(F.sum("_copies").alias("_rows"))
