@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, chat, components, decontam, linededup, neardup, passages, quality, sharding, topk, warc
 from tracewell.llm.common import Scratch
-from tracewell.llm.queries import PATTERN, TOKENIZERS
+from tracewell.llm.queries import CHAT_RANKS, MULTI_RANKS, PATTERN
 from tracewell.llm.shingles import shingles
 
-RANKS = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+RANKS = MULTI_RANKS
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, row string"
 ODD = ["", None, "one", " \n\t ", "zwei Wörter", "日本語 😀 text", "￿ mark", "x" * 200_000, "und " * 3000]
 
@@ -123,6 +123,16 @@ def test_bpe_of_a_vocabulary_that_merges_miss():
     assert codec.encode("abc abcd").tolist() == [256, 32, 97, 98, 99, 100] and codec.decode([256, 32]) == b"abc "
 
 
+def test_bpe_of_texts_that_leave_no_mark():
+    import tiktoken
+
+    library = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    codec = bpe.ByteBpe(bpe.load_ranks(RANKS), PATTERN)
+    chart = "".join(map(chr, range(0xE001, 0x10000)))
+    for text in (chart, " ".join(chart), f"and {chart} so {chart[:3000]}"):
+        assert codec.encode(text).tolist() == library.encode_ordinary(text)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/ x", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u\r\nX: y", "big" * 100_000), (None, "u", "<p>é</p>")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
@@ -136,6 +146,33 @@ def test_warc(spark, tmp_path):
     assert {r.record_type for r in warc.read_archives(spark, f"file://{tmp_path}/a").collect()} == {"response"}
 
 
+def test_archives_are_read_by_ranges_or_whole(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"<p>{i % 7}</p>" * 50) for i in range(60)], "page_id bigint, url string, html string")
+    warc.write_archives(df.coalesce(2), f"file://{tmp_path}/a", archive_bytes=900)
+    rows = []
+    for ranged in (True, False):
+        monkeypatch.setattr(warc, "_ranged", lambda _, ranged=ranged: ranged)
+        rows.append(sorted(map(tuple, warc.read_archives(spark, f"file://{tmp_path}/a").collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 60 and len(list(tmp_path.glob("a/part-*"))) > 3
+
+
+def test_zip64_directory():
+    """An archive whose end record, sizes and offsets all refer to the ZIP64 fields, made byte by byte."""
+    import struct
+
+    data = [(warc.DATA, b"x" * 1000), (warc.INDEX, b"y" * 10)]
+    out, central, full = b"", b"", 0xFFFFFFFF
+    for name, body in data:
+        extra = struct.pack("<HHQQQ", 1, 24, len(body), len(body), len(out))
+        central += b"PK\x01\x02" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 0, 0, full, full, len(name), len(extra), 0, 0, 0, 0, full) + name.encode() + extra
+        out += b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 0, 0, full, full, len(name), 0) + name.encode() + body
+    first, end = len(out), len(out) + len(central)
+    out += central + b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 2, 2, len(central), first)
+    out += b"PK\x06\x07" + struct.pack("<IQI", 0, end, 1) + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, full, full, 0)
+    reader = warc.ZipReader.over(out)
+    assert reader.read(warc.DATA, 3, 5) == b"xxxxx" and reader.read(warc.INDEX) == b"y" * 10
+
+
 def test_zip_reader_needs_only_ranges():
     writer = warc.ArchiveWriter()
     for i in range(50):
@@ -413,7 +450,7 @@ def test_chat(spark):
     texts = ["</s>[INST] a", "<\\/s> <|turn|>", None, "", "<<SYS>> \\[INST]", "long " * 50_000]
     rows = [(7, i, "assistant" if i % 2 else "user", t, "x") for i, t in enumerate(texts)] + [(8, None, None, None, "x"), (7, 9, "assistant", "end", "y")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, ids string")
-    out = {r.conv_id: r for r in chat.digest_conversations(chat.with_probe(turns), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN).collect()}
+    out = {r.conv_id: r for r in chat.digest_conversations(chat.with_probe(turns), CHAT_RANKS, PATTERN).collect()}
     own = [(r or "", t or "") for c, _, r, t, _ in rows if c == 7]
     loss = "".join(t for r, t in own if r == "assistant")
     assert out[7].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
@@ -425,6 +462,90 @@ def test_chat(spark):
         assert chat.unescape(escaped) == (t or "") and not any(c in escaped for c in chat.CONTROL)
 
 
+CLASHES = "doc_id bigint, text string, score double, _score double, n_lines int, n_dropped int, row string, whole string, key string, keys string, id string, n_chars bigint"
+AWKWARD = [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (1, "another text of the same id"), (None, "no id " * 20), (None, None), (2, None), (3, ""), (4, "long " * 100_000)]
+
+
+def awkward(spark, rows=AWKWARD):
+    return spark.createDataFrame([(i, t, 0.5, 0.25, 7, 8, "r", "w", "k", "ks", "x", 3) for i, t in rows], CLASHES)
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []], ids=["awkward", "empty"])
+def test_awkward_rows(spark, rows):
+    """Nulls, repeated rows and ids, empty and long texts, clashing columns and empty tables, in every operator on documents."""
+    docs, n = awkward(spark, rows), len(rows)
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, 0, 0), (None, 1, 0), (2, None, 0)] if rows else [], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (1, "one two three four five six seven"), (None, "another text of the same id"), (2, None), (3, "")] if rows else [], "item_id bigint, text string")
+    assert sharding.shard_documents(docs).count() == quality.digest_scores(docs, labels).count() == bpe.digest_documents(docs, RANKS, PATTERN).count() == n
+    kept = quality.keep_good(docs, quality.train(docs, labels))
+    assert kept.columns == docs.columns and {r._score for r in kept.collect()} <= {0.25}
+    lines = linededup.LineStore(spark).insert(docs).dedup(docs)
+    assert lines.columns == [*docs.columns, "n_lines_", "n_dropped_"] and sorted(map(str, ((r.n_lines, r.n_dropped_, r.text) for r in lines.collect()))) == sorted(map(str, ((7, 0, t) for _, t in rows)))
+    found = {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs, items).collect()}
+    assert found == ({(1, 1, 0)} if rows else set())
+    clean = decontam.keep_clean(docs, items)
+    assert clean.columns == docs.columns and clean.count() == max(0, n - 3)
+    near = neardup.components(docs, 2, 80).collect()
+    assert len(near) == n and all(r.component_id == r.doc_id and r.kept for r in near)
+    assert neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(docs).count() == n
+    assert passages.repeats(docs).count() == 0
+    assert all(r.decodes for r in bpe.encode_checked(docs, RANKS, PATTERN).collect())
+
+
+def test_awkward_tables_of_other_shapes(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>", "x"), (1, "u", "<p>", "x"), (None, None, None, "y"), (None, None, "<p>", "y")], "page_id bigint, url string, html string, payload_digest string")
+    rows = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()]
+    assert sorted(map(str, rows)) == ["(1, 'response', None)", "(1, 'response', None)", "(None, 'response', None)", "(None, 'revisit', 1)"]
+    turns = spark.createDataFrame([(None, 1, "user", "b", "x"), (None, 1, "user", "a", "x"), (None, None, None, None, "x"), (5, 1, "user", "same", "x"), (5, 1, "user", "same", "x")], "conv_id bigint, turn bigint, role string, text string, mask string")
+    out = {r.conv_id: r for r in chat.digest_conversations(turns, CHAT_RANKS, PATTERN).collect()}
+    assert out[None].turns_sha256 == hashlib.sha256(b"\n\nuser\na\nuser\nb\n").hexdigest() and out[5].n_turns == 2 and out[5].loss_chars == 0
+    assert chat.digest_conversations(turns.limit(0), CHAT_RANKS, PATTERN).count() == 0
+    assert topk.search(spark.createDataFrame([(None, [1.0]), (1, [2.0]), (2, [2.0]), (3, [2.0]), (3, [2.0])], "vec_id bigint, embedding array<float>"), F.col("vec_id") == 1).count() == 2
+
+
+def test_decontamination_by_passes(spark, monkeypatch):
+    rng = random.Random(18)
+    items = sentences(rng, 9, 12)
+    docs = table(spark, [f"{a} {b}" for a, b in zip(sentences(rng, 30, 20), items * 4)] + ODD)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    results = []
+    for chars in (4_000_000, 100):
+        monkeypatch.setattr(decontam, "PASS_CHARS", chars)
+        results.append((sorted(map(tuple, decontam.matches(docs, bench).collect())), {r.doc_id for r in decontam.keep_clean(docs, bench).collect()}))
+    assert results[0] == results[1] and len(results[0][0]) == 30
+
+
+def test_line_dedup_without_filters(spark, monkeypatch):
+    """Filters too large for a broadcast, and several shards: the same lines go."""
+    rng = random.Random(19)
+    lines = sentences(rng, 40, 8)
+    docs = table(spark, ["\n".join(rng.sample(lines, 5)) for _ in range(60)])
+    results = []
+    for size, keys in ((64 << 20, 200_000), (0, 200_000), (64 << 20, 5)):
+        monkeypatch.setattr(linededup, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(linededup, "SHARD_KEYS", keys)
+        results.append(sorted(map(tuple, linededup.LineStore(spark).insert(docs).dedup(docs, digest=True).collect())))
+    assert results[0] == results[1] == results[2] and sum(r[2] for r in results[0]) > 0
+
+
+def test_quality_fit_against_gradient_descent():
+    """The pairwise logistic loss at the fitted weights, against a plain minimiser of the same loss."""
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(80, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=80) > 0).astype(float)
+    model = quality.fit(x, y, seed=3)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    pick = np.random.default_rng(3)
+    better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    n = quality.PAIRS_EACH * min(len(better), len(worse))
+    pairs = z[pick.choice(better, n)] - z[pick.choice(worse, n)]
+
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 1e-3 * (-(pairs * (1 / (1 + np.exp(pairs @ w)))[:, None]).sum(0) + w)
+    assert np.allclose(w, model.weights, atol=1e-3)
+
+
 def test_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "TASK_EDGES", 0)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 99), (200, 200)]

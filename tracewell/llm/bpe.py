@@ -3,8 +3,8 @@
 A rank file lists byte strings by merge rank. Each byte is mapped to a printable character, so every entry is a
 piece; its score is its negative rank, and the normaliser is the identity. sentencepiece then joins the adjacent
 pair of the best score first, the leftmost among equals, which is the merge order of the ranks. Pre-tokens never
-merge with each other: those not met before are encoded together, parted by a character that no piece holds (it comes back as
-the unknown id and is taken out). Decoding maps each id back to the bytes of its piece.
+merge with each other: those not met before are encoded together, parted by a character that none of them holds (it comes back as
+the unknown id and is taken out); where no character is free, fewer are encoded at a time. Decoding maps each id back to the bytes of its piece.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ LAZY_CHARS = 1_000_000
 #: Pre-tokens whose ids a worker remembers.
 CACHED_PRETOKENS = 200_000
 PART = "▁"
+#: Characters that may part pre-tokens, the likeliest to be free first.
+MARKS = [chr(c) for c in range(0xFFFF, 0xE000, -1)]
 
 
 def byte_characters() -> str:
@@ -111,14 +113,23 @@ class ByteBpe:
     def _learn(self, pretokens: set[str]) -> None:
         """Put the ids of some pre-tokens into the cache, by one call of the encoder."""
         known = [t for t in pretokens if t.encode() in self.whole] if self.whole else []
-        fresh = list(pretokens.difference(known))
-        mark = next(c for c in map(chr, range(0xFFFF, 0xE000, -1)) if not any(c in t for t in fresh))
-        mapped = self._mapped(mark.join(fresh).encode()).replace(self._mapped(mark.encode()), PART)
-        ids = np.array(self.model.encode(mapped) if fresh else [], dtype=np.int64)
+        self.cache.update((t, struct.pack("<I", self.whole[t.encode()])) for t in known)
+        parts = [list(pretokens.difference(known))]
+        while parts:
+            fresh = parts.pop()
+            mark = next((c for c in MARKS if not any(c in t for t in fresh)), "")
+            if mark or len(fresh) < 2:
+                self._encode(fresh, mark)
+            else:
+                parts += [fresh[: len(fresh) // 2], fresh[len(fresh) // 2 :]]
+
+    def _encode(self, fresh: list[str], mark: str) -> None:
+        """Put the ids of pre-tokens that don't hold ``mark`` into the cache; a single one needs no mark."""
+        mapped = self._mapped(mark.join(fresh).encode())
+        ids = np.array(self.model.encode(mapped.replace(self._mapped(mark.encode()), PART) if mark else mapped), dtype=np.int64)
         cuts = np.flatnonzero(ids == 0)
         data, starts, ends = (ids - 1).astype("<u4").tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
         self.cache.update((t, data[4 * i : 4 * j]) for t, i, j in zip(fresh, starts, ends))
-        self.cache.update((t, struct.pack("<I", self.whole[t.encode()])) for t in known)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit integers; an empty text has none."""

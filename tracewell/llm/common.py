@@ -30,12 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0].name}"
 
 
+#: Folders of this process's scratch tables; results read them lazily, so they go when the process ends.
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, root in _ROOTS:
+        if spark.sparkContext._jsc is not None:  # else the session is stopped, and its file systems with it
+            delete(spark, root)
+
+
+def delete(spark: SparkSession, root: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables that cut the lineage of an operator. Each is Parquet in the shared folder, so that it outlives any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not _ROOTS:
+            atexit.register(_sweep)
+        _ROOTS.append((spark, self.root))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again; a later call with the same name needs ``drop`` first."""
@@ -48,10 +67,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import row_type
+from tracewell.llm.common import Scratch, row_type
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
@@ -186,10 +186,13 @@ def _built(shared) -> Matcher:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each document and item that it holds within the item's budget: doc_id, item_id, distance, budget, end_char.
 
-    Whole texts are searched; null and empty texts and items hold nothing. Items of equal id count as one item each.
+    Whole texts are searched; null and empty texts and items hold nothing, and items without id aren't sought. Items of
+    equal id and different texts are sought one by one; rows that repeat a document give its rows again. With several
+    passes each is written before the next begins, so that the driver holds the items of one.
     """
-    found = None
-    for chosen in _passes(items):
+    found, passes = None, _passes(items)
+    scratch = Scratch(docs.sparkSession, "matches")
+    for number, chosen in enumerate(passes):
         shared = _matcher(items, chosen)
 
         def run(batches, shared=shared):
@@ -204,14 +207,21 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_id", "distance", "budget", "end_char"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, row_type(docs, ["doc_id"], item_id="bigint", distance="bigint", budget="bigint", end_char="bigint"))
+        if len(passes) > 1:
+            part = scratch.save(part, f"pass-{number}")
+            shared.destroy()
         found = part if found is None else found.union(part)
     return found
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs``, all its columns, without the documents that hold an item, be it one without id. No shuffle."""
-    columns = docs.columns
-    for chosen in _passes(items):
+    """``docs``, all its columns, without the documents that hold an item, be it one without id. No shuffle.
+
+    Without items all documents stay; repeated rows stay or go together. With several passes each is written before the next begins.
+    """
+    columns, passes = docs.columns, _passes(items)
+    scratch = Scratch(docs.sparkSession, "clean")
+    for number, chosen in enumerate(passes):
         shared = _matcher(items, chosen, unnamed=True)
         packed = docs.select(F.col("text").alias("text"), F.struct(*columns).alias("row"))
 
@@ -221,4 +231,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array([not matcher.search(t.as_py()) for t in batch.column(0)], pa.bool_()))], ["row"])
 
         docs = packed.mapInArrow(run, row_type(packed, ["row"])).select("row.*")
+        if len(passes) > 1:
+            docs = scratch.save(docs, f"pass-{number}")
+            shared.destroy()
     return docs

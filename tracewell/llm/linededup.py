@@ -11,6 +11,7 @@ support deletion, so what a document brought in goes with it.
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +242,9 @@ class LineStore:
         """``docs`` with the store's common lines dropped from all but the largest document that holds them.
 
         All columns are kept; ``text`` is the lines that stay, joined by newlines (null if it was null), and
-        ``n_lines`` and ``n_dropped`` are added. With ``digest`` only doc_id, the two counts and ``kept_sha256`` are returned.
+        ``n_lines`` and ``n_dropped`` are added; where ``docs`` has such a column, it stays and the added one's name gets
+        underscores at its end. With ``digest`` only doc_id, the two counts and ``kept_sha256`` are returned.
+        Every row of a repeated doc_id loses the document's lines; null doc_ids are one document, the lowest.
         Text is shuffled only for documents that have a line in the filters.
         """
         spark, least = self.spark, self.min_chars
@@ -302,4 +305,5 @@ class LineStore:
         if digest:
             return both.mapInArrow(cut, row_type(docs, ["doc_id"], n_lines="bigint", n_dropped="bigint", kept_sha256="string"))
         done = both.mapInArrow(cut, row_type(packed, n_lines="bigint", n_dropped="bigint"))
-        return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns), "n_lines", "n_dropped")
+        added = [F.col(c).alias(c + "_" * next(k for k in count() if c + "_" * k not in docs.columns)) for c in ("n_lines", "n_dropped")]
+        return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns), *added)

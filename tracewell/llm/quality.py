@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> R
     """Fit on at most ``max_labels`` labelled documents that aren't held out.
 
     Rows without doc_id or quality are left out; several labels of a document count as their mean, rounded. Labels
-    without a document are left out.
+    without a document are left out; of several texts of a document the least counts, so no more than ``max_labels``
+    rows reach the driver. Without any label every score is one half.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
@@ -126,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> R
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
     # the sample is bounded by max_labels rows of two numbers, so it is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_y", "text").mapInArrow(run, "y double, x array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("_y").alias("_y"), F.min("text").alias("text"))
+    rows = rows.select("_y", "text").mapInArrow(run, "y double, x array<double>").toArrow()
     y = np.array(rows.column("y").to_pylist(), float)
     x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), -1) if len(y) else np.zeros((0, len(features(None))))
     order = np.lexsort((*x.T, y)) if len(y) else np.arange(0)  # rows come in any order; the fit must not depend on it
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> R
 
 
 def score(docs: DataFrame, model: Ranker, column: str = "score") -> DataFrame:
-    """``docs`` with all its columns and the score of each text (0 to 1; empty and null texts have one too)."""
+    """``docs`` with all its columns and the score of each text (0 to 1; empty and null texts have one too); a column of that name is replaced."""
     rest = [c for c in docs.columns if c != column]
     packed = docs.select(F.struct(*rest).alias("row"), F.col("text").alias("text"))
 
@@ -154,9 +156,12 @@ def keep_best(scored: DataFrame, quantile: float, column: str = "score") -> Data
 
 
 def keep_good(docs: DataFrame, model: Ranker) -> DataFrame:
-    """``docs``, all its columns, without the documents that the model rejects: scores at or below the quantile of the labelled scores that parts label 0 from label 1."""
-    columns = docs.columns
-    return score(docs, model, "_score").where(F.col("_score") > model.threshold).select(*columns)
+    """``docs``, all its columns, without the documents that the model rejects: scores at or below the quantile of the labelled scores that parts label 0 from label 1.
+
+    A model fitted on one label or on none rejects nothing. Repeated rows stay or go together.
+    """
+    whole = docs.select("text", F.struct(*docs.columns).alias("whole"))
+    return score(whole, model).where(F.col("score") > model.threshold).select("whole.*")
 
 
 def digest_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +10,9 @@ from tracewell.llm import bpe, chat, decontam, neardup, passages, quality, shard
 from tracewell.llm.common import read_table
 from tracewell.llm.linededup import LineStore
 
-#: Where the vocabularies of public tokenizers lie on every machine.
-TOKENIZERS = "/opt/tokenizers"
-#: Splits text before the merges of the rank files; a fixed value.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Rank files of public tokenizers, at the same place on every machine.
+MULTI_RANKS, CHAT_RANKS = (public_tokenizers.path(f"{name}.tiktoken") for name in ("byte_bpe_multi_50k", "byte_bpe_50k"))
+PATTERN = public_tokenizers.PATTERN
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
+    return bpe.digest_documents(read_table(spark, sf_dir, "documents"), MULTI_RANKS, PATTERN)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_probe(read_table(spark, sf_dir, "conversations"))
-    return chat.digest_conversations(turns, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    return chat.digest_conversations(turns, CHAT_RANKS, PATTERN)
 
 
 QUERIES = {

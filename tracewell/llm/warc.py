@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from tracewell.llm.common import Scratch, text_bytes
 
 #: Compressed bytes after which a new archive begins.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes of neighbouring records that are read at once.
+RANGE_BYTES = 4 << 20
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RESPONSE, REVISIT = "response", "revisit"
@@ -100,6 +103,11 @@ class ZipReader:
         view = memoryview(data)
         return cls(len(data), lambda at, n: bytes(view[at : at + n]))
 
+    @classmethod
+    def within(cls, file: pa.NativeFile, size: int) -> ZipReader:
+        """An archive in a file that can be read at any place."""
+        return cls(size, lambda at, n: file.read_at(n, at))
+
     def _directory(self) -> Iterator[Member]:
         tail = self.read_at(start := max(0, self.size - 65_557), self.size - start)
         if (at := tail.rfind(b"PK\x05\x06")) < 0:
@@ -165,11 +173,38 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, headers(http), payload
 
 
-def records(archive: ZipReader) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """Every record that the archive's index locates, each by one range read."""
+def records(archive: ZipReader, at_once: int = RANGE_BYTES) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """Every record that the archive's index locates. Records that lie next to each other are read as one range of up to ``at_once`` bytes, or of one record."""
+    run: list[tuple[int, int]] = []
+
+    def cut():
+        first = run[0][0]
+        raw = archive.read(DATA, first, run[-1][0] + run[-1][1] - first)
+        for offset, length in run:
+            yield parse(gzip.decompress(raw[offset - first : offset - first + length]))
+
     for line in archive.read(INDEX).splitlines():
         entry = json.loads(line)
-        yield parse(gzip.decompress(archive.read(DATA, entry["offset"], entry["length"])))
+        if run and (run[-1][0] + run[-1][1] != entry["offset"] or entry["offset"] + entry["length"] - run[0][0] > at_once):
+            yield from cut()
+            run.clear()
+        run.append((entry["offset"], entry["length"]))
+    if run:
+        yield from cut()
+
+
+def _ranged(path: str) -> bool:
+    """Whether Arrow has a file system for the path, by which Python workers read ranges of it."""
+    try:
+        FileSystem.from_uri(_uri(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        return False
+    return True
+
+
+def _uri(path: str) -> str:
+    """A path as Spark names it, as Arrow reads it."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -207,7 +242,9 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, archive_by
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path``: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits).
 
-    No records give no archives; a file without bytes, as the sink may leave one, is passed over.
+    Spark lists the archives, a row for each, and its tasks read directories, index and records by ranges through Arrow's
+    file systems; a worker holds one range. Of a store that Arrow doesn't know, archives come whole through Spark's reader
+    (each under 2 GB) and are read by ranges in memory. No records give no archives; a file without bytes, as the sink may leave one, is passed over.
 
     A response's size and digest are those of the payload read, and it is an error if they aren't the ones its
     headers state; a revisit's come from its headers.
@@ -222,9 +259,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             return int(text) if urn and (text := urn.rpartition(":")[2].rstrip(">")) else None
 
         for batch in batches:
-            for content in batch.column(0):
+            for path_, length, content in zip(*batch.columns):
                 rows = []
-                for warc, http, payload in records(ZipReader.over(content.as_buffer())):
+                if ranged:
+                    system, name = FileSystem.from_uri(_uri(path_.as_py()))
+                    archive = ZipReader.within(system.open_input_file(name), length.as_py())
+                else:
+                    archive = ZipReader.over(content.as_buffer())
+                for warc, http, payload in records(archive):
                     stated = (int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:"))
                     response = warc["warc-type"] == RESPONSE
                     if response and (len(payload), digest32(payload)) != stated:
@@ -236,7 +278,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(unpack, schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    ranged = _ranged(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString())
+    found = spark.read.format("binaryFile").load(path).where("length > 0")
+    if ranged:
+        # a task for each archive, or several for as many as the session has partitions
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = found.select("path", "length").repartition(tasks, "path").withColumn("content", F.lit(None).cast("binary"))
+    return found.select("path", "length", "content").mapInArrow(unpack, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
