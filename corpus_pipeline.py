@@ -7,11 +7,12 @@ last return the columns of ``documents``; the last returns, for each document ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontam, neardup, quality
 from tracewell.llm.common import Scratch, read_table
 from tracewell.llm.linededup import LineStore
-from tracewell.llm.queries import PATTERN, TOKENIZERS
+from tracewell.llm.queries import MULTI_RANKS, PATTERN
 from tracewell.shipping import ship
 
 
@@ -24,14 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that five documents or more share, but for the largest doc_id; n_chars follows the text."""
     ship(spark)
-    columns = docs.columns
-    cut = LineStore(spark).insert(docs).dedup(docs)
-    if "n_chars" in columns:
-        from pyspark.sql import functions as F
-
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*columns)
+    cut = LineStore(spark).insert(docs).dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +47,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and whether they decode to its text again."""
     ship(spark)
-    return bpe.encode_checked(docs, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN)
+    return bpe.encode_checked(docs, MULTI_RANKS, PATTERN)
 
 
 STAGES = [
