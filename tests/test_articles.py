@@ -131,3 +131,153 @@ def test_results_do_not_depend_on_partitioning(spark):
     one = sequence.merge_soft_wrapped(given.repartition(1)).orderBy("position").collect()
     assert one == sequence.merge_soft_wrapped(given.orderBy(F.rand(3)).repartition(7)).orderBy("position").collect()
     assert [r.position for r in one] == list(range(len(one)))
+
+
+IMAGE = "struct<image_id:string,src:string,position:int,thumbnail_base64:string>"
+
+
+def test_runs_round_trip(spark, tmp_path):
+    """Two runs are written, listed, read and downloaded; one is deleted."""
+    import time
+
+    folder = f"file://{tmp_path}"
+    given = elements(spark, ("heading", "Head"), ("narration", DESCRIPTION), ("quote", QUOTE), ("image", None), ("citation", CITE))
+    found = analyse(given)
+    files = render.to_docx(render.render_plan(found.elements, found.links, found.groups))
+    counts = runs.summarise(found.matches)
+    one = to_json(assemble(found)).join(files, "doc_id").join(counts, "doc_id").select(F.lit("a1").alias("run_id"), "document", "content", "segment_count", "quote_count", F.lit("x.html").alias("source_file"), F.lit(1.25).alias("parse_duration_seconds"))
+    assert runs.write_runs(one, folder) == 1
+    time.sleep(1.1)
+    assert runs.write_runs(spark.createDataFrame([("b2", '{"segments": []}')], "run_id string, document string"), folder) == 1
+    listed = {r.run_id: r for r in runs.scan_storage(spark, folder).collect()}
+    assert set(listed) == {"a1", "b2"} and listed["a1"].docx_path and listed["b2"].docx_path is None and listed["b2"].meta_path
+    history = runs.stored_history(spark, folder).orderBy(F.desc("modified")).collect()
+    assert [(r.run_id, r.source_file, r.quote_count, r.docx_available) for r in history] == [("b2", "Parsed Document", None, False), ("a1", "x.html", 1, True)]
+    schema = "segments array<struct<segment_id:string,segment_text:string>>, generated_at string"
+    read = {r.cache_key: r for r in runs.read_results(spark, folder, schema).collect()}
+    assert set(read) == {"a1", "b2"} and [s.segment_text for s in read["a1"].segments][0] == "Head" and read["a1"].from_cache and read["a1"].generated_at
+    assert runs.read_results(spark, folder, schema, "b2").count() == 1
+    name, data = runs.download_docx(spark, folder, "a1")
+    assert name.startswith("evidence_") and name.endswith("_a1.docx") and data[:2] == b"PK" and runs.download_docx(spark, folder)[1] == data
+    assert runs.latest(runs.scan_storage(spark, folder)).first().path.endswith("result_b2.json")
+    assert runs.delete_files(spark, folder, "a1") == 3 and {r.run_id for r in runs.scan_storage(spark, folder).collect()} == {"b2"}
+    for missing in (lambda: runs.delete_files(spark, folder, "a1"), lambda: runs.download_docx(spark, folder, "a1")):
+        with pytest.raises(LookupError):
+            missing()
+
+
+def test_images_are_embedded_once(spark, tmp_path):
+    import base64
+    import io
+
+    payload = base64.b64encode(b"\x89PNG data").decode()
+    given = elements(spark, ("narration", DESCRIPTION), ("image", None), ("quote", QUOTE), ("citation", CITE), ("image", None), ("citation", CITE))
+    given = given.withColumn("image", F.when(F.col("image").isNotNull(), F.col("image").withField("thumbnail_base64", F.lit(payload)).withField("image_id", F.lit("same"))))
+    found = analyse(given)
+    assert [[i.image_id for i in r.images] for r in render.evidence_images(found.groups).collect()] == [["same"]]
+    plan = render.render_plan(found.elements, found.links, found.groups)
+    assert [len(r.images or []) for r in plan.orderBy("seq").collect()] == [0, 0, 1]
+    data = bytes(render.to_docx(plan).first().content)
+    archive = zipfile.ZipFile(io.BytesIO(data))
+    assert [n for n in archive.namelist() if "media" in n] == ["word/media/image1.png"] and archive.read("word/media/image1.png") == b"\x89PNG data"
+    assert render.CAPTION in archive.read("word/document.xml").decode()
+    files = spark.createDataFrame([(1, bytearray(data))], "doc_id bigint, content binary")
+    assert [bytes(r.payload) for r in docx.docx_images(files).collect()] == [b"\x89PNG data"]
+
+
+def test_spans_follow_their_text(spark):
+    span = lambda a, b: {"start": a, "end": b, "color": "RED", "group_id": "g1"}
+    moved = render.project("the army  crossed the army", "the  army crossed\nthe army", [span(18, 26), span(0, 8), span(10, 17), span(3, 99)])
+    assert [(s["start"], s["end"]) for s in moved] == [(0, 9), (10, 17), (18, 26)]
+    assert render.project("a b", "c d", [span(0, 3)]) == [] and render.project("x", "x", [span(0, 1)]) == [span(0, 1)]
+    rows = spark.createDataFrame([(1, "a  b", "a b", [(0, 4, "RED", "g1")]), (2, "a b", "a b", [(0, 1, "RED", "g1")])], "k int, old string, new string, spans array<struct<start:int,end:int,color:string,group_id:string>>")
+    assert [(r.k, [(s.start, s.end) for s in r.spans]) for r in render.project_spans(rows, "old", "new").orderBy("k").collect()] == [(1, [(0, 3)]), (2, [(0, 1)])]
+
+
+def test_quotes_meet_their_plan_in_order(spark):
+    assert render.match_in_order(["a b", "a", "", "zz", "a b c", "c"], ["a b", "x", "a b c d"]) == [0, 2, None, None, 0, 2]
+    given = elements(spark, ("narration", DESCRIPTION), ("quote", QUOTE), ("quote", "[Q:] Another part of it."), ("citation", CITE), ("quote", "never linked"))
+    found = analyse(given)
+    out = render.match_quote_plan(found.elements, found.links).orderBy("position").collect()
+    assert [(r.position, r.quote_number, r.part_number) for r in out][:2] == [(1, 1, 0), (2, 1, 1)]
+
+
+def test_local_images(spark, tmp_path):
+    (tmp_path / "pics").mkdir()
+    (tmp_path / "pics" / "a.png").write_bytes(b"A")
+    (tmp_path / "secret.png").write_bytes(b"S")
+    names = ["pics/a.png", "./pics/a.png?x=1", "../secret.png", "/etc/passwd", "http://h/pics/a.png", "pics/none.png", "pics/../secret.png"]
+    rows = [(1, i, "image", None, {"image_id": f"img_{i}", "src": n, "position": i, "thumbnail_base64": None}) for i, n in enumerate(names)]
+    given = spark.createDataFrame(rows, ELEMENTS)
+    held = html.local_payloads(spark, given, f"file://{tmp_path}")
+    assert {(r.image_id, bytes(r.payload)) for r in held.collect()} == {("img_0", b"A"), ("img_1", b"A")}
+    assert html.with_payloads(given, held).where("image.thumbnail_base64 = 'QQ=='").count() == 2
+    roots = spark.createDataFrame([(1, "pics/")], "doc_id bigint, root string")
+    given = spark.createDataFrame([(1, 0, "image", None, {"image_id": "i", "src": "a.png", "position": 0, "thumbnail_base64": None})], ELEMENTS)
+    assert html.local_payloads(spark, given, f"file://{tmp_path}", roots).count() == 1
+
+
+def test_thin_pages_take_recognised_texts(spark):
+    pages = spark.createDataFrame([(1, 1, "thin", "h1"), (1, 2, "word and " * 40, "h1"), (1, 3, "", "h1")], "doc_id bigint, page_number int, text string, source_sha1 string")
+    cache = spark.createDataFrame([("h1", 1, "read by a machine")], "source_sha1 string, page_number int, ocr_text string")
+    out = {r.page_number: (r.text, r.missing) for r in evidence.recognised_text(pages, cache).collect()}
+    assert out == {1: ("read by a machine", False), 2: ("word and " * 40, False), 3: ("", True)}
+
+
+class Scripted:
+    """A provider that answers from fixed replies."""
+
+    def __init__(self, groups=(), accept=lambda s: True, recovered=()):
+        self.given, self.accept, self.recovered = list(groups), accept, list(recovered)
+
+    def units(self, description):
+        return ["Port Said"]
+
+    def groups(self, description, quote, level):
+        return self.given
+
+    def verify(self, description, quote, found, thresholds):
+        return [s for s in found if self.accept(s)]
+
+    def recover(self, description, quote, found):
+        return self.recovered
+
+
+def test_providers_steer_the_claims():
+    from tracewell.operators import alignment as A
+
+    given = [("British Army crossed the Suez Canal", ["the British Army crossed the Suez Canal"])]
+    spans_ = A.align(DESCRIPTION, QUOTE, "medium", Scripted(given))
+    assert [s.quote_span_text for s in spans_][:1] == ["British Army crossed the Suez Canal"] or "Suez Canal" in spans_[0].quote_span_text
+    assert A.align(DESCRIPTION, QUOTE, "medium", Scripted(given, accept=lambda s: False)) == []
+    at = QUOTE.index("the Cabinet met in London.")
+    anchor = A.Span(0, 30, at, at + 26, "PINK", "g9", DESCRIPTION[:30], QUOTE[at : at + 26])
+    again = A.align(DESCRIPTION, QUOTE, "medium", Scripted(given, recovered=[anchor]))
+    assert {s.group_id for s in again} >= {"g1", "g9"}
+
+
+def test_claim_operators_agree_with_alignment(spark):
+    from tracewell.operators import alignment as A
+    from tracewell.operators import claims
+
+    texts = [QUOTE, DESCRIPTION, 'He said "the army crossed" and “port said, fell” once ‘in a week’', "one two; three four, five six. seven", ""]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id bigint, quote_number int, t string")
+    phrases = {r.quote_number: r.p for r in df.select("quote_number", claims.quoted_phrases(F.col("t")).alias("p")).collect()}
+    windows = {i: [] for i in range(len(texts))}
+    for r in claims.ngram_windows(df, "t").orderBy("quote_number", "number").collect():
+        windows[r.quote_number].append((r.start, r.end))
+    sound = {r.quote_number: r.s for r in df.select("quote_number", claims.is_sound(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert phrases[i] == A.quoted_units(t) and windows[i] == A.candidates(t) and sound[i] == A.sound(t)
+        place = spark.range(1).select(claims.occurrences(F.lit(t), F.lit("the")).alias("p")).first().p
+        assert place == [a for a, _ in A.Located(t).exact("the")]
+
+
+def test_streaming_pages(spark, tmp_path):
+    from tracewell.streaming.ingest import ingest_html
+
+    page = f"<html><body><p>{DESCRIPTION}</p><p class=Style1>{QUOTE}</p><p>{CITE}</p></body></html>"
+    spark.createDataFrame([(1, page)], "doc_id bigint, html string").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second start finds nothing new
+        ingest_html(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1

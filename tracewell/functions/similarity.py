@@ -25,7 +25,7 @@ WEAK_WORDS = (
     "second she since that the their these third those this to try unfortunately was were who which with would"
 ).split()
 
-#: Least token coverage by kind of unit.
+# Least token coverage by kind of unit.
 KIND_COVERAGE = {"entity": 0.40, "action": 0.55, "relation": 0.55}
 
 

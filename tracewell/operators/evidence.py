@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.similarity import PAGE_STOPS, cosine, page_tokens, query_overlap
 from tracewell.functions.text import YEAR, join_key
 
-#: Weights of cosine and overlap, pages shortlisted, and what the best must reach and lead by.
+# Weights of cosine and overlap, pages shortlisted, what the best must reach and lead by, and a pick's confidence.
 COSINE_WEIGHT, OVERLAP_WEIGHT, SHORTLIST, LEAST_SCORE, LEAST_MARGIN, PICKER_CONFIDENCE = 0.78, 0.22, 6, 0.36, 0.04, 0.5
 
 # Further words that are no fingerprint.
@@ -156,6 +156,11 @@ def match_pdf_pages(groups: DataFrame, pages: DataFrame, picks: DataFrame | None
     return joined.withColumn("images", F.when(F.col("_page").isNotNull(), F.array("_page")).otherwise(F.col("images"))).select(*groups.columns)
 
 
+def file_sha1(content: Column) -> Column:
+    """The hex SHA-1 of a file's bytes (of a text, in UTF-8; null counts as empty): the key of recognised texts with the page number."""
+    return F.sha1(F.coalesce(content.cast("binary"), F.lit(b"")))
+
+
 def recognised_text(pages: DataFrame, cache: DataFrame) -> DataFrame:
     """Pages whose text layer is too thin, with the cached recognition (source_sha1, page_number, ocr_text); ``missing`` marks those still to be recognised."""
     from tracewell.functions.text import needs_ocr

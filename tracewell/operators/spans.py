@@ -72,5 +72,5 @@ def ner_links(links: DataFrame) -> DataFrame:
     """Distinct (group, unit, span) triples of each link in the order of the quote, and their distinct units in order."""
     spans = explode_spans(links)
     once = spans.groupBy("doc_id", "quote_id", "group_id", "description_unit", "quote_span_text").agg(F.min("quote_start").alias("quote_start"), F.min("color").alias("color"))
-    order = Window.partitionBy("doc_id", "quote_id").orderBy("quote_start", "group_id")
+    order = Window.partitionBy("doc_id", "quote_id").orderBy("quote_start", "group_id", "description_unit", "quote_span_text")
     return once.withColumn("number", F.row_number().over(order))

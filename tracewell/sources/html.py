@@ -30,12 +30,17 @@ def decode(data: bytes) -> str:
 
 
 class _Outline(HTMLParser):
-    """Collects images and paragraphs of the body in document order; an unclosed paragraph holds those within it, as a tree would."""
+    """Collects images and paragraphs of the body in document order; an unclosed paragraph holds those within it, as a tree would.
+
+    Texts lie in one list, each paragraph notes where its own begin and end, so paragraphs within paragraphs copy nothing while they are read.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.stack: list[tuple[str, dict | None]] = []
+        self.texts: list[str] = []
+        self.raw = 0
         self.body: int | None = None
 
     def handle_starttag(self, tag, attrs):
@@ -44,13 +49,14 @@ class _Outline(HTMLParser):
         given = {k: v or "" for k, v in reversed(attrs)}
         node = None
         if tag == "p":
-            node = {"kind": "p", "text": [], "class": given.get("class", ""), "style": given.get("style", "")}
+            node = {"kind": "p", "from": len(self.texts), "to": None, "class": given.get("class", ""), "style": given.get("style", "")}
         elif tag == "img":
             node = {"kind": "img", "src": given.get("src", "")}
         if node:
             self.nodes.append(node)
         if tag not in _VOID:
             self.stack.append((tag, node))
+            self.raw += tag in _RAW
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -60,14 +66,16 @@ class _Outline(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                for name, node in self.stack[i:]:
+                    self.raw -= name in _RAW
+                    if node:
+                        node["to"] = len(self.texts)
                 del self.stack[i:]
                 return
 
     def handle_data(self, data):
-        if not any(tag in _RAW for tag, _ in self.stack):
-            for _, node in self.stack:
-                if node:
-                    node["text"].append(data)
+        if not self.raw:
+            self.texts.append(data)
 
 
 def outline(html: str) -> list[dict]:
@@ -75,7 +83,7 @@ def outline(html: str) -> list[dict]:
     parser = _Outline()
     parser.feed(html)
     parser.close()
-    return [{**n, "text": " ".join(n["text"])} if n["kind"] == "p" else n for n in parser.nodes[parser.body or 0 :]]
+    return [{**n, "text": " ".join(parser.texts[n["from"] : n["to"]])} if n["kind"] == "p" else n for n in parser.nodes[parser.body or 0 :]]
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
@@ -112,6 +120,16 @@ def made(kind: str | Column, text: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), text.alias("text"), F.lit(None).cast("string").alias("image_id"))
 
 
+def classify(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (text, css_class, style) with ``paragraph``, what a paragraph is, and ``tail``, the citation that becomes an element after it (null if none does)."""
+    nodes = nodes.withColumn("only", is_citation_only(F.col("text"))).withColumn("titled", is_heading_class(F.col("css_class")))
+    # a citation in parentheses at the end is looked for only where one can be
+    tail = F.when(~F.col("only") & ~F.col("titled") & F.col("text").rlike(r"\)\s*\z"), trailing_citation(F.col("text")))
+    quoted = F.contains(F.lower("css_class"), F.lit("style1")) | is_indented_style(F.col("style"))
+    kind = F.when(F.col("only"), "citation").when(quoted, "quote").when(F.col("titled"), "heading").otherwise("narration")
+    return nodes.withColumn("paragraph", kind).withColumn("tail", tail).drop("only", "titled")
+
+
 def extract_html(pages: DataFrame, site_phrases: tuple[str, ...] = ()) -> DataFrame:
     """Elements of Word-exported pages, soft wraps joined. ``pages`` has doc_id and html; ``site_phrases`` mark further paragraphs as furniture.
 
@@ -120,10 +138,8 @@ def extract_html(pages: DataFrame, site_phrases: tuple[str, ...] = ()) -> DataFr
     """
     nodes = _nodes(pages).withColumn("text", normalise(F.col("text")))
     nodes = nodes.where((F.col("kind") == "img") | ~is_noise(F.col("text"), site_phrases))
-    nodes = nodes.withColumn("only", is_citation_only(F.col("text"))).withColumn("tail", trailing_citation(F.col("text"))).withColumn("titled", is_heading_class(F.col("css_class")))
-    quoted = F.contains(F.lower("css_class"), F.lit("style1")) | is_indented_style(F.col("style"))
-    kind = F.when(F.col("only"), "citation").when(quoted, "quote").when(F.col("titled"), "heading").otherwise("narration")
-    tail = F.when(~F.col("only") & ~F.col("titled") & F.col("tail").isNotNull(), made("citation", F.col("tail")))
+    nodes = classify(nodes)
+    kind, tail = F.col("paragraph"), F.when(F.col("tail").isNotNull(), made("citation", F.col("tail")))
     image = F.array(made("image", F.lit(None).cast("string")))
     return merge_soft_wrapped(emit(nodes, F.when(F.col("kind") == "img", image).otherwise(F.array(made(kind, F.col("text")), tail))))
 
@@ -134,6 +150,23 @@ def read_html(spark: SparkSession, folder: str, site_phrases: tuple[str, ...] =
     return extract_html(files.select(F.xxhash64("path").alias("doc_id"), F.col("content").alias("html")), site_phrases)
 
 
+def local_payloads(spark: SparkSession, elements: DataFrame, folder: str, roots: DataFrame | None = None) -> DataFrame:
+    """The image files of a folder that elements name by a relative path: doc_id, image_id, payload, for ``with_payloads``.
+
+    ``roots`` (doc_id, root) says in which folder below ``folder`` a document lies; else all lie in it. Addresses, absolute paths and
+    paths that leave the folder have no payload: files are listed by Spark and matched by name, none is opened by what a page says.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    named = files.select(F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), top + "/", -1).alias("name"), F.col("content").alias("payload"))
+    asked = elements.where("type = 'image'").select("doc_id", F.col("image.image_id").alias("image_id"), F.regexp_replace("image.src", r"^(\./)+|[?#].*$", "").alias("src"))
+    asked = asked.where(~F.col("src").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^/|(^|/)\.\.(/|$)"))
+    if roots is not None:
+        asked = asked.join(roots, "doc_id").withColumn("src", F.concat_ws("/", F.nullif(F.regexp_replace("root", "/+$", ""), F.lit("")), "src"))
+    return asked.join(named, F.col("src") == F.col("name")).select("doc_id", "image_id", "payload")
+
+
 def with_payloads(elements: DataFrame, images: DataFrame) -> DataFrame:
     """Images with their payload (doc_id, image_id, payload) as base64; joined last, so that bytes pass through no window."""
     held = images.select("doc_id", F.col("image_id").alias("_id"), F.base64("payload").alias("_payload"))
@@ -141,4 +174,4 @@ def with_payloads(elements: DataFrame, images: DataFrame) -> DataFrame:
     return joined.withColumn("image", F.when(F.col("image").isNotNull(), F.col("image").withField("thumbnail_base64", F.col("_payload")))).select(*elements.columns)
 
 
-__all__ = ["decode", "emit", "extract_html", "made", "outline", "read_html", "renumber", "with_payloads"]
+__all__ = ["classify", "decode", "emit", "extract_html", "local_payloads", "made", "outline", "read_html", "renumber", "with_payloads"]
