@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, chat, components, decontam, linededup, neardup, passages, quality, sharding, topk, warc
 from tracewell.llm.common import Scratch
 from tracewell.llm.queries import CHAT_RANKS, MULTI_RANKS, PATTERN
-from tracewell.llm.shingles import shingles
+from tracewell.llm import shingles as shingle_module
+from tracewell.llm.shingles import hash_words, runs_of, shingles, words
 
 RANKS = MULTI_RANKS
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, row string"
@@ -376,8 +377,7 @@ def planted(rng, lines, width):
 
 
 def meeting(texts):
-    t = passages.LEAST_WORDS - passages.WIDTH + 1
-    one, two = (passages.joint_keys(*passages.document_windows(shingles(x, passages.WIDTH), t), t) for x in texts)
+    one, two = (passages.cells(passages.text_tokens(x)[1])[0] for x in texts)
     return len(np.intersect1d(one, two)) > 0
 
 
@@ -432,18 +432,81 @@ def test_edited_passages_meet():
     assert similar > 2000 and missed <= 2, (missed, similar)
 
 
-def test_joint_keys_of_values_at_many_places(monkeypatch):
-    rng, t = np.random.default_rng(9), 12
+def test_cells_against_brute_force():
+    """Every sequence lies in the one cell of its signature: the least token of each function and how far they are apart."""
+    rng = np.random.default_rng(9)
     for kinds in (1, 3, 20, 10**9):
-        for _ in range(15):
-            windows = passages.document_windows(rng.integers(0, kinds, 300).astype(np.uint64), t)
-            found = []
-            for bound in (10**9, -(10**9)):
-                monkeypatch.setattr(passages, "CANDIDATES", bound)
-                found.append(passages.joint_keys(*windows, t).tolist())
-            assert found[0] == found[1]
-    monkeypatch.setattr(passages, "CANDIDATES", 4096)
-    assert len(passages.joint_keys(*passages.document_windows(np.ones(200_000, np.uint64), t), t)) == passages.HASHES * (passages.HASHES - 1) // 2
+        for _ in range(20):
+            tokens = rng.integers(1, kinds + 1, 200).astype(np.uint64)
+            tokens[rng.integers(0, 200, rng.integers(0, 6))] = 0
+            t = int(rng.integers(1, 30))
+            keys, first, last = passages.cells(tokens, t)
+            least = [passages.values(tokens, i) for i in range(passages.HASHES)]
+            signature, cell = {}, {int(s): k for k, f, e in zip(keys.tolist(), first, last) for s in range(f, e + 1)}
+            assert len(cell) == int((last - first + 1).sum())
+            for s in range(len(tokens) - t + 1):
+                if (tokens[s : s + t] != 0).all():
+                    at = [s + int(np.argmin(v[s : s + t])) for v in least]
+                    signature[s] = (*(int(v[x]) for v, x in zip(least, at)), *(x - at[0] for x in at))
+            assert set(cell) == set(signature)
+            assert len({(cell[s], signature[s]) for s in cell}) == len(set(cell.values())) == len(set(signature.values()))
+
+
+def test_run_starts_against_brute_force():
+    rng = np.random.default_rng(21)
+    for _ in range(100):
+        t = passages.SEED + int(rng.integers(0, 30))
+        held = [(int(rng.integers(0, 300)), int(rng.integers(0, passages.SEED))) for _ in range(rng.integers(1, 40))]
+        starts = {s for f, n in held for s in range(f, f + n + 1)}
+        expected = [s for s in range(400) if all(x in starts for x in range(s, s + t - passages.SEED + 1))]
+        first, last = passages.run_starts(np.array([f << 8 | n for f, n in held]), t)
+        assert sorted(s for a, b in zip(first, last) for s in range(a, b + 1)) == expected
+
+
+def test_word_hashes_of_many_texts(monkeypatch):
+    rng = random.Random(22)
+    texts = [" ".join(rng.choice(["a", "Ab", "é", "x" * 40, "日本"]) + rng.choice(["", "\n", "\t ", "\x0b"]) for _ in range(rng.randrange(40))) for _ in range(30)] + ["", None, "\n", "y" * 500, "Ab"]
+    whole = hash_words(texts)
+    monkeypatch.setattr(shingle_module, "HASHED_BYTES", 64)
+    parted = hash_words(texts)
+    assert whole[0].tolist() == parted[0].tolist() and whole[1].tolist() == parted[1].tolist()
+    names = [w for t in texts for w in words(t)]
+    assert whole[1].tolist() == np.cumsum([0, *(len(words(t)) for t in texts)]).tolist()
+    assert len(set(zip(whole[0].tolist(), names))) == len(set(names)) == len(set(whole[0].tolist()))
+    tokens = runs_of(*whole, 3)
+    for a, b in zip(whole[1].tolist(), whole[1][1:].tolist()):
+        assert (tokens[max(a, b - 2) : b] == 0).all() and (tokens[a : max(a, b - 2)] != 0).all()
+
+
+def brute_links(texts, t):
+    """Pairs of texts, and whether any alignment of the two in either direction holds a passage."""
+    held = [passages.text_tokens(x)[1] for x in texts]
+    return {(i, j) for i in range(len(texts)) for j in range(i) if passages.align_both(held[i], held[j], t)}
+
+
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_passages_against_all_pairs(spark, monkeypatch, rounds):
+    """Classes of all pairs, with exact and edited passages and a line of many; without rounds, blocks alone find them."""
+    monkeypatch.setattr(passages, "ROUNDS", rounds)
+    monkeypatch.setattr(passages, "BLOCK", 7)
+    rng = random.Random(23)
+    line, texts = sentences(rng, 1, 30)[0], []
+    for passage in sentences(rng, 8, 70):
+        for _ in range(4):
+            own = passage.split()
+            if rng.random() < 0.6:
+                own[rng.randrange(70)] = f"new{rng.randrange(10**6)}"
+            a, b = sentences(rng, 2, 30)
+            texts.append(f"{a} {line if rng.random() < 0.7 else ''} {' '.join(own[rng.randrange(8):])} {b}")
+    texts += [f"{x} {line} {y}" for x, y in zip(sentences(rng, 12, 40), sentences(rng, 12, 40))]
+    pairs = brute_links(texts, passages.LEAST_WORDS - passages.WIDTH + 1)
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    linked = {i for pair in pairs for i in pair}
+    rows = {r.doc_id: r.class_id for r in passages.repeats(table(spark, texts)).collect()}
+    assert rows == {i: root[i] for i in linked} and len(linked) >= 30
 
 
 def test_chat(spark):
