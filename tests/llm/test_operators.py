@@ -484,6 +484,20 @@ def brute_links(texts, t):
     return {(i, j) for i in range(len(texts)) for j in range(i) if passages.align_both(held[i], held[j], t)}
 
 
+def test_passages_that_only_a_chain_connects(spark):
+    """Versions of a passage, each two words from the next: only neighbours are alike."""
+    rng = random.Random(24)
+    words_, texts = sentences(rng, 1, 60)[0].split(), []
+    for i in range(12):
+        words_[(i * 7) % 60] = f"v{i}"
+        a, b = sentences(rng, 2, 30)
+        texts.append(f"{a} {' '.join(words_)} {b}")
+    pairs = brute_links(texts, passages.LEAST_WORDS - passages.WIDTH + 1)
+    assert 11 <= len(pairs) < 30
+    rows = {r.doc_id: r.class_id for r in passages.repeats(table(spark, texts)).collect()}
+    assert rows == dict.fromkeys(range(12), 0)
+
+
 @pytest.mark.parametrize("rounds", [2, 0])
 def test_passages_against_all_pairs(spark, monkeypatch, rounds):
     """Classes of all pairs, with exact and edited passages and a line of many; without rounds, blocks alone find them."""
