@@ -46,11 +46,16 @@ def delete(spark: SparkSession, root: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Tables that cut the lineage of an operator. Each is Parquet in the shared folder, so that it outlives any executor."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
+        """``batch_rows`` bounds the Arrow batches of what is saved, for rows that carry whole texts; by default the session's bound holds."""
         self.spark = spark
+        self.batch_rows = batch_rows
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         if not _ROOTS:
             atexit.register(_sweep)
@@ -58,7 +63,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again; a later call with the same name needs ``drop`` first."""
-        df.write.parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(_BATCH_ROWS)
+        if self.batch_rows is not None:
+            self.spark.conf.set(_BATCH_ROWS, str(min(self.batch_rows, int(before)) if int(before) > 0 else self.batch_rows))
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(_BATCH_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def read(self, name: str) -> DataFrame:
