@@ -281,3 +281,33 @@ def test_streaming_pages(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         ingest_html(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_each_description_is_aligned_once(spark):
+    """A link is aligned once, and once more only if it borrows, however often the plan reads links."""
+    from tracewell.operators.providers import Provider
+
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(Provider):
+        def groups(self, description, quote, level):
+            calls.add(1)
+            return []
+
+    told = "The British army in Egypt crossed the river Nile at dawn:"
+    rows = [("narration", told), ("quote", "Records say the British army in Egypt crossed the river Nile at dawn."), ("citation", CITE), ("narration", "Nothing of this sort was ever said there:"), ("quote", "xx yy zz."), ("citation", CITE)]
+    found = analyse(elements(spark, *rows), "medium", provider=Counting())
+    kinds = [r.kind for r in render.render_plan(found.elements, found.links, found.groups).orderBy("seq").collect()]
+    assert kinds == [k for k, _ in rows]
+    borrowed = found.links.where("colorization_description_text is not null").count()
+    assert borrowed == 1 and calls.value == 2 + borrowed
+
+
+def test_shared_phrases_stand_between_bounds():
+    import re
+
+    from tracewell.operators.alignment import stands
+
+    for text in ("", "ab", "ab-cd", "xab ab_", "ab' é", "l'été ab", "ß ab", "abab ab."):
+        for phrase in ("ab", "ab'", "b", "l'", "ab-"):
+            assert stands(phrase, text) == bool(re.search(rf"\b{re.escape(phrase)}\b", text))
