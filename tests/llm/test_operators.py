@@ -432,6 +432,25 @@ def test_edited_passages_meet():
     assert similar > 2000 and missed <= 2, (missed, similar)
 
 
+@pytest.mark.parametrize("old, new", [(0, 12), (12, 0), (7, 7), (0, 14)])
+def test_passages_with_a_wide_gap_are_linked(spark, old, new):
+    """Halves of 49 words, each too short alone, on either side of words that only one has or that differ; few tokens beside them are alike too."""
+    rng = random.Random(31 + new)
+    a, b, c, d, one, two = sentences(rng, 6, 49)
+    gone, come, near = sentences(rng, 3, 14)
+    stray = " ".join(near.split()[:6])
+    x, y = f"{one} {' '.join(gone.split()[:old])} {two}", f"{one} {' '.join(come.split()[:new])} {two}"
+    sets = [{*shingles(v, passages.WIDTH).tolist()} for v in (x, y)]
+    assert len(sets[0] & sets[1]) >= passages.SIMILARITY * len(sets[0] | sets[1])
+    texts = [f"{a} {x} {' '.join(c.split()[:6])} {stray} {c}", f"{b} {y} {' '.join(d.split()[:6])} {stray} {d}"]
+    held = [passages.text_tokens(v)[1] for v in texts]
+    for i, j in ((0, 1), (1, 0)):
+        (a0, a1, b0, b1, similarity), *_ = passages.align(held[i], held[j], 46)
+        assert similarity >= passages.SIMILARITY and a1 - a0 >= 93 and b1 - b0 >= 93
+    if old == 0 and new == 12:
+        assert {r.doc_id: r.class_id for r in passages.repeats(table(spark, texts)).collect()} == {0: 0, 1: 0}
+
+
 def test_cells_against_brute_force():
     """Every sequence lies in the one cell of its signature: the least token of each function and how far they are apart."""
     rng = np.random.default_rng(9)

@@ -154,11 +154,42 @@ def align(a: np.ndarray, b: np.ndarray, t: int) -> list[tuple[int, int, int, int
 
     Tokens of ``a`` that are also in ``b`` are chained along their places in ``b`` with at most ``GAP`` missed or shifted
     in a row; of several places in ``b`` that is taken which continues the chain, or begins the best one. A chain that isn't similar enough is
-    parted where it misses most, until its parts are similar or too short.
+    parted where it misses most, until its parts are similar or too short. If all are, chains are sought across wider gaps.
     """
     return _align(a, b, t)[0]
 
 
+def _bridged(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, t: int) -> list[tuple[int, int, int, int, float]]:
+    """Passages over the places ``p`` and ``q`` of matched tokens, in one order, however many are missed in a row.
+
+    Matches s to e hold a passage if (1 + 1 / SIMILARITY) times their number reaches the tokens from s to e in both documents, so the
+    earliest fit start of each end is found from least values; the longest passage is taken, then those on either side of it.
+    """
+    weight, out = 1 + 1 / SIMILARITY, []
+    cuts = [0, *(np.flatnonzero(np.diff(q) <= 0) + 1).tolist(), len(q)]
+    parts = list(zip(cuts, cuts[1:]))
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < t // 2:
+            continue
+        x, y = p[lo:hi], q[lo:hi]
+        f = weight * np.arange(hi - lo) - x - y + 1e-9
+        before = np.minimum(np.searchsorted(x, x - t + 1, "right"), np.searchsorted(y, y - t + 1, "right"))
+        least = np.minimum.accumulate(f)
+        ends = np.flatnonzero((before > 0) & (f >= least[np.maximum(before - 1, 0)] - (weight - 2)))
+        if not len(ends):
+            continue
+        starts = np.searchsorted(-least, -(f[ends] + weight - 2))  # the first place from which on the least value is low enough
+        best = int(np.argmax(ends - starts))
+        s, e = lo + int(starts[best]), lo + int(ends[best])
+        one, two = np.unique(a[p[s] : p[e] + 1]), np.unique(b[q[s] : q[e] + 1])
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        if both >= SIMILARITY * (similar := len(one) + len(two) - both):
+            out.append((int(p[s]), int(p[e]), int(q[s]), int(q[e]), both / similar))
+        parts += [(lo, s), (e + 1, hi)]
+    return out
+
+
 def _align(a: np.ndarray, b: np.ndarray, t: int) -> tuple[list[tuple[int, int, int, int, float]], bool]:
     """``align``, and whether the other direction would find the same: tokens have one place each, in one order, and miss as much on either side."""
     order = np.argsort(b, kind="stable")
@@ -206,7 +237,7 @@ def _align(a: np.ndarray, b: np.ndarray, t: int) -> tuple[list[tuple[int, int, i
             out.append((a0, a1, b0, b1, both / similar))
         elif s < e and missed[cut := s + int(np.argmax(missed[s:e]))] > 0:  # two passages: parted where most is missed
             chains += [(s, cut), (cut + 1, e)]
-    return out, alike
+    return out or _bridged(a, b, p, q, t), alike
 
 
 def align_both(a: np.ndarray, b: np.ndarray, t: int) -> list[tuple[int, int, int, int, float]]:
