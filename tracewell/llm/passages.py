@@ -199,24 +199,30 @@ def _align(a: np.ndarray, b: np.ndarray, t: int) -> tuple[list[tuple[int, int, i
     if len(p) < t // 2:
         return [], False
     q = order[lo[p]]
-    for k in np.flatnonzero((hi - lo)[p] > 1).tolist():
+    several = np.flatnonzero((hi - lo)[p] > 1).tolist()
+    at, chosen, held_a, held_b = (x.tolist() if several else [] for x in (p, q, a, b))
+    for k in several:
+        expected = chosen[k - 1] + at[k] - at[k - 1] if k else -GAP - 1
+        if 0 <= expected < len(b) and held_b[expected] == held_a[at[k]]:
+            chosen[k] = expected
+            continue
         places = order[lo[p[k]] : hi[p[k]]]
-        expected = q[k - 1] + p[k] - p[k - 1] if k else -GAP - 1
         near = np.searchsorted(places, expected)
         best = min(places[max(0, near - 1) : near + 1].tolist(), key=lambda x: abs(x - expected))
         if abs(best - expected) > GAP:  # a chain begins: at the place from which most tokens go on alike
             ahead = np.arange(min(t, len(a) - p[k]))
             alike = b[np.minimum(places[:, None] + ahead, len(b) - 1)] == a[p[k] + ahead]
-            best = places[int(alike.sum(1).argmax())]
-        q[k] = best
+            best = int(places[int(alike.sum(1).argmax())])
+        chosen[k] = best
+    q = np.array(chosen) if several else q
     shift = q - p
     missed = np.maximum(np.diff(p) - 1, np.abs(np.diff(shift)))
     breaks = np.flatnonzero(missed > GAP)
     order_a = np.argsort(a, kind="stable")
-    again_a, again_b = _repeats(order_a, a[order_a]).tolist(), _repeats(order, ordered).tolist()
+    again_a, again_b = _repeats(order_a, a[order_a]), _repeats(order, ordered)
     back = np.maximum(np.diff(q) - 1, np.abs(np.diff(shift)))
     close = np.minimum(missed, back) <= GAP
-    once = not ((hi - lo)[p] > 1).any() and len(np.unique(a[p])) == len(p)
+    once = not several and not (again_a[p + 1] > again_a[p]).any()
     alike = once and bool((np.diff(q) > 0).all()) and bool((missed == back)[close].all())
     out, chains = [], list(zip([0, *(breaks + 1).tolist()], [*breaks.tolist(), len(p) - 1]))
     while chains:
@@ -228,8 +234,11 @@ def _align(a: np.ndarray, b: np.ndarray, t: int) -> tuple[list[tuple[int, int, i
         both = similar = 0
         # no more distinct tokens are in both than places that are matched, and no fewer in either than places without a repeat
         shared = e - s + 1
-        least = max(a1 - a0 + 1 - again_a[a1 + 1] + again_a[a0], b1 - b0 + 1 - again_b[b1 + 1] + again_b[b0])
-        if shared >= SIMILARITY * least:
+        fresh_a, fresh_b = a1 - a0 + 1 - again_a[a1 + 1] + again_a[a0], b1 - b0 + 1 - again_b[b1 + 1] + again_b[b0]
+        if once and fresh_a == a1 - a0 + 1 and fresh_b == b1 - b0 + 1:
+            both = int(np.count_nonzero((q[s : e + 1] >= b0) & (q[s : e + 1] <= b1)))
+            similar = int(fresh_a + fresh_b) - both
+        elif shared >= SIMILARITY * max(fresh_a, fresh_b):
             one, two = np.unique(a[a0 : a1 + 1]), np.unique(b[b0 : b1 + 1])
             both = len(np.intersect1d(one, two, assume_unique=True))
             similar = len(one) + len(two) - both
@@ -257,26 +266,61 @@ def _begin(place: int, t: int) -> int:
     return max(0, (place >> 8) - t)
 
 
-def _least(t: int) -> int:
-    """Tokens that two passages of t tokens share at least if they are similar enough."""
-    return int(np.ceil(2 * t * SIMILARITY / (1 + SIMILARITY)))
+#: What a token that the other document lacks costs, where one that it has counts 1: in either document alone, and in both together.
+_PRICE, _BOTH_PRICE = round(SIMILARITY / (1 - SIMILARITY)), round(2 * SIMILARITY / (1 - SIMILARITY))
+_NONE = np.int32(-(10**6))
+
+
+class Sought:
+    """The tokens of a document that others are held against, sorted once."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        self.distinct, self.rank, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        self.again = counts[self.rank] > 1
 
+    def may_share(self, other: np.ndarray, t: int) -> bool:
+        """Whether ``align_both`` may find a passage with ``other``, from the tokens alone that each has of the other's."""
+        if not len(self.distinct) or not len(other):
+            return False
+        at = np.minimum(np.searchsorted(self.distinct, other), len(self.distinct) - 1)
+        there = self.distinct[at] == other
+        here = np.zeros(len(self.distinct), bool)
+        here[at[there]] = True
+        if not _may_hold(here[self.rank], self.again, t):
+            return False
+        _, rank, counts = np.unique(other, return_inverse=True, return_counts=True)
+        return _may_hold(there, counts[rank] > 1, t)
 
-def _holding(alike: np.ndarray, sequence: np.ndarray, cell: int, t: int) -> np.ndarray:
-    """For each row of ``alike`` (which distinct tokens another member has) whether a passage of this one may hold its cell.
 
-    ``sequence`` are the member's tokens as numbers of distinct ones. Some run of t tokens or more that holds the cell must have enough of
-    them alike; tokens that repeat count at their best, so no passage is missed.
+def _may_hold(alike: np.ndarray, again: np.ndarray, t: int) -> bool:
+    """Whether some run of t tokens or more, of which ``alike`` are also in another document, may be a passage.
+
+    It begins and ends with such a token, and of its distinct tokens ``SIMILARITY`` are such ones. Tokens that stand ``again`` in
+    the document count at their best, so no passage is missed.
     """
-    n = len(sequence)
-    starts = np.arange(min(cell, n - t) + 1)
-    if n < t:
-        return np.zeros(len(alike), bool)
-    worst = np.where(np.bincount(sequence)[sequence] > 1, 0.0, -SIMILARITY)
-    sums = np.zeros((len(alike), n + 1))
-    np.cumsum(np.where(alike[:, sequence], 1 - SIMILARITY, worst), axis=1, out=sums[:, 1:])
-    best = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1]  # of all ends from a place on
-    return (best[:, np.maximum(cell + 1, starts + t)] - sums[:, starts] >= -1e-9).any(1)
+    p = np.flatnonzero(alike)
+    if not len(p) or p[-1] - p[0] + 1 < t:
+        return False
+    lost = np.cumsum(~(alike | again))[p]
+    before = np.arange(len(p)) - _PRICE * lost
+    starts = np.searchsorted(p, p - t + 1, "right")
+    least = np.minimum.accumulate(before)
+    return bool(((starts > 0) & (before + 1 >= least[np.maximum(starts - 1, 0)])).any())
+
+
+def _best(alike: np.ndarray, lost: np.ndarray, cells: np.ndarray, t: int) -> np.ndarray:
+    """For each row the most that a run of t tokens or more which holds its cell, and begins and ends alike, counts: 1 for a token ``alike``, else ``lost``."""
+    n, size = alike.shape
+    if size < t:
+        return np.full(n, _NONE)
+    sums = np.zeros((n, size + 1), np.int32)
+    np.cumsum(np.where(alike, np.int32(1), lost), axis=1, out=sums[:, 1:])
+    place, cells = np.arange(size), cells[:, None]
+    ends = np.where(alike & (place >= cells), sums[:, 1:], _NONE)
+    ends = np.maximum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]  # of all from a place on
+    m = size - t + 1
+    return np.where(alike[:, :m] & (place[:m] <= cells), ends[:, t - 1 :] - sums[:, :m], _NONE).max(1)
 
 
 def _sift(t: int):
@@ -286,21 +330,49 @@ def _sift(t: int):
     Pairs of different components that are alike enough for a passage are aligned likewise. Where that finds one the two are one
     component from then on; they come out in any case, since whole texts may hold a longer one.
     """
-    enough = _least(t)
+    enough = int(np.ceil(t * SIMILARITY))  # tokens of t that the other has, or that repeat
 
     def compare(rows):
         rows.sort(key=lambda row: row[1])  # by id, so that the buckets of one passage make the same pairs
         own, ids, comps, bare, place, around = zip(*rows)
         each = [np.frombuffer(x, np.uint64) for x in around]
-        sets, sequences = zip(*(np.unique(x, return_inverse=True) for x in each))
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        order = np.argsort(flat, kind="stable")
-        flat, owner, own, ids, comps, bare = flat[order], owner[order], np.array(own), np.array(ids), np.array(comps), np.array(bare)
+        n, lengths = len(each), np.array([len(x) for x in each])
+        own, ids, comps, bare = np.array(own), np.array(ids), np.array(comps), np.array(bare)
         begin = [_begin(x, t) for x in place]
-        cell = [(x >> 8) - b for x, b in zip(place, begin)]
+        cell = np.array([(x >> 8) - b for x, b in zip(place, begin)])
         across = own.min() != own.max()  # pairs within a block meet in that block alone
+        # tokens by number, those that one member alone has by the last one
+        distinct, number = np.unique(np.concatenate(each), return_inverse=True)
+        owner = np.repeat(np.arange(n), lengths)
+        held_by, of, times = np.unique(owner * len(distinct) + number, return_inverse=True, return_counts=True)
+        common = np.bincount(held_by % len(distinct), minlength=len(distinct)) > 1
+        number = np.where(common, np.cumsum(common) - 1, common.sum())[number]
+        column = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        sequence = np.full((n, lengths.max()), common.sum(), np.int32)
+        sequence[owner, column] = number
+        again = np.zeros(sequence.shape, bool)
+        again[owner, column] = times[of] > 1
+        has = np.zeros((n, common.sum() + 1), bool)
+        has[owner, number] = True
+        has[:, -1] = False
+        lost, lost_both = (np.where(again, np.int32(0), np.int32(-x)) for x in (_PRICE, _BOTH_PRICE))
         out = []
 
+        def holding(i, near):
+            """Those of ``near`` with which a passage may hold the cells of both, by the tokens that each has of the other's."""
+            theirs = has[i][sequence[near]]
+            some = np.count_nonzero(theirs | again[near], axis=1) >= enough
+            some[some] = _best(theirs[some], lost[near[some]], cell[near[some]], t) >= 0
+            near, theirs = near[some], theirs[some]
+            if not len(near):
+                return near
+            mine = has[near[:, None], sequence[i, : lengths[i]]]
+
+            def best(lost):
+                return _best(mine, np.broadcast_to(lost[i, : lengths[i]], mine.shape), np.full(len(near), cell[i]), t)
+
+            return near[(best(lost) >= 0) & (best(lost_both) + _best(theirs, lost_both[near], cell[near], t) >= 0)]
+
         def held(found, i, j):
             """Settle what the passages of two members hold."""
             for member, first, last in ((i, 0, 1), (j, 2, 3)):
@@ -314,29 +386,24 @@ def _sift(t: int):
                 i, j, moved = j, i, [(x[2], x[3], x[0], x[1], x[4]) for x in moved]
             out.append((int(ids[i]), int(ids[j]), _spans(moved)))
 
-        for i in range(len(ids)):
+        for i in range(n):
             other = ids != ids[i]
             if across:
                 other &= own != own[i]
-            apart = other & (comps != comps[i]) & (np.arange(len(ids)) > i)
-            if not (bare[i] and other.any() or apart.any()):
+            apart = other & (comps != comps[i]) & (np.arange(n) > i)
+            sought = np.flatnonzero(other if bare[i] else apart)
+            if not len(sought):
                 continue
-            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            n = hi - lo
-            alike = np.zeros((len(ids), len(sets[i])), bool)
-            alike[owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(n)), n)] = True
-            likely = (alike.sum(1) >= enough) & (other if bare[i] else apart)
-            near = np.flatnonzero(likely)
-            holding = np.zeros(len(ids), bool)
-            holding[near] = _holding(alike[near], sequences[i], cell[i], t)
-            for j in np.flatnonzero(likely & apart).tolist():
-                if comps[i] != comps[j]:
-                    found = align(each[i], each[j], t) if holding[j] else []
-                    held(found, i, j)
-                    pair(found, i, j)
+            likely = holding(i, sought).tolist()
+            tried = {}
+            for j in likely:
+                if apart[j] and comps[i] != comps[j]:
+                    tried[j] = align(each[i], each[j], t)
+                    held(tried[j], i, j)
+                    pair(tried[j], i, j)
             if bare[i]:
-                for j in np.flatnonzero(holding).tolist():
-                    found = align(each[i], each[j], t)
+                for j in likely:
+                    found = tried[j] if j in tried else align(each[i], each[j], t)
                     held(found, i, j)
                     if not bare[i]:
                         pair(found, i, j)
@@ -434,11 +501,27 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     buckets = headed(met, "buckets")
     scratch.drop("met")
 
+    def tokenised(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                hashes, begin = hash_words(part.column(1).to_pylist())
+                tokens, out = runs_of(hashes, begin, WIDTH), []
+                for id_, a, b in zip(part.column(0).to_pylist(), begin.tolist(), begin[1:].tolist()):
+                    # a doc_id that repeats brings further texts
+                    out.append(tokens[a : max(a, b - WIDTH + 1)].tobytes() if node_id(hashes[a:b], seed) == id_ else None)
+                found = pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "tokens"])
+                yield found.filter(pa.array([x is not None for x in out], pa.bool_()))
+
+    ids = buckets.select("id").distinct().join(classes.select("id", F.col("rep").alias("doc_id")), "id")
+    ids = scratch.save(ids, "ids")
+    texts = narrow.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "doc_id").select("id", "text")
+    tokens = scratch.save(texts.mapInArrow(tokenised, "id bigint, tokens binary"), "tokens")
+
     def spoken(keys: DataFrame, columns: list[str]) -> DataFrame:
-        """The text of each row of ``keys`` (id and others). Keys are broadcast up to a bound, so that texts stay where they are; a doc_id that repeats brings further texts, which readers drop by their ids."""
-        named = keys.join(classes.select("id", F.col("rep").alias("doc_id")), "id")
-        named = F.broadcast(named) if keys.count() <= BROADCAST_KEYS else named
-        return narrow.join(named, "doc_id").select(*columns, "text")
+        """The tokens of each row of ``keys`` (id and others). Keys are broadcast up to a bound, so that tokens stay where they are."""
+        named = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        return tokens.join(named, "id").select(*columns, "tokens")
 
     def merge_places(batches):
         for batch in batches:
@@ -453,11 +536,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     def emit_runs(batches):
         for batch in batches:
-            for id_, first, last, text in zip(batch.column("id").to_pylist(), *(batch.column(c) for c in ("first", "last", "text"))):
-                hashes, tokens = text_tokens(text.as_py())
-                if node_id(hashes, seed) == id_:
-                    starts, runs = run_hashes(tokens, first.values.to_numpy(), last.values.to_numpy(), t)
-                    yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(np.full(len(runs), id_)), pa.array(starts)], ["run", "id", "start"])
+            for id_, first, last, held in zip(batch.column("id").to_pylist(), *(batch.column(c) for c in ("first", "last", "tokens"))):
+                starts, runs = run_hashes(np.frombuffer(held.as_buffer(), np.uint64), first.values.to_numpy(), last.values.to_numpy(), t)
+                yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(np.full(len(runs), id_)), pa.array(starts)], ["run", "id", "start"])
 
     def join_runs(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -478,15 +559,14 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     known = exact.select(F.explode("partners").alias("a"), F.col("id").alias("b")).where("a <> b")
 
     def confirm(batches):
-        kept: tuple[int | None, np.ndarray | None] = (None, None)
+        kept: tuple[int | None, Sought | None] = (None, None)
         for batch in batches:
             rows = []
             for a, b, one, two in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("t_a"), batch.column("t_b")):
                 if kept[0] != a:
-                    hashes, tokens = text_tokens(one.as_py())
-                    kept = (a, tokens) if node_id(hashes, seed) == a else (None, None)
-                hashes, tokens = text_tokens(two.as_py())
-                if kept[0] == a and node_id(hashes, seed) == b and (found := align_both(kept[1], tokens, t)):
+                    kept = (a, Sought(np.frombuffer(one.as_py(), np.uint64)))
+                other = np.frombuffer(two.as_buffer(), np.uint64)
+                if kept[1].may_share(other, t) and (found := align_both(kept[1].tokens, other, t)):
                     rows.append((a, b, _spans(found)))
             columns = list(zip(*rows)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], _SPANS)], ["a", "b", "shared"])
@@ -499,8 +579,8 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         nonlocal tried, links
         fresh = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
         fresh = scratch.save(fresh, f"pairs-{turn}")
-        one = spoken(fresh.select(F.col("a").alias("id")).distinct(), ["id"]).select(F.col("id").alias("a"), F.col("text").alias("t_a"))
-        two = spoken(fresh.select("a", F.col("b").alias("id")), ["a", "id"]).select("a", F.col("id").alias("b"), F.col("text").alias("t_b"))
+        one = spoken(fresh.select(F.col("a").alias("id")).distinct(), ["id"]).select(F.col("id").alias("a"), F.col("tokens").alias("t_a"))
+        two = spoken(fresh.select("a", F.col("b").alias("id")), ["a", "id"]).select("a", F.col("id").alias("b"), F.col("tokens").alias("t_b"))
         found = scratch.save(two.join(one, "a").select("a", "b", "t_a", "t_b").mapInArrow(confirm, f"a bigint, b bigint, shared {SHARED}"), f"links-{turn}")
         tried = fresh if tried is None else tried.unionByName(fresh)
         links = links.unionByName(found)
@@ -520,13 +600,13 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         rows = headed(_distinct_buckets(left), f"rows-{turn}")
 
     def surroundings(batches):
-        """The tokens around each cell, as far as a shortest passage that holds it may reach."""
+        """The tokens around each cell of a document, as far as a shortest passage that holds it may reach."""
         for batch in batches:
-            out = []
-            for id_, place, text in zip(batch.column("id").to_pylist(), batch.column("place").to_pylist(), batch.column("text")):
-                hashes, tokens = text_tokens(text.as_py())
-                out.append(tokens[_begin(place, t) : (place >> 8) + (place & 255) + SEED + t].tobytes() if node_id(hashes, seed) == id_ else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(out, pa.binary())], [*carried, "around"])
+            for id_, cells_, held in zip(batch.column("id").to_pylist(), batch.column("cells"), batch.column("tokens")):
+                whole, out = np.frombuffer(held.as_buffer(), np.uint64), cells_.values
+                around = [whole[_begin(x, t) : (x >> 8) + (x & 255) + SEED + t].tobytes() for x in out.field("place").to_pylist()]
+                names = [c for c in carried if c != "id"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), id_)), *(out.field(c) for c in names), pa.array(around, pa.binary())], ["id", *names, "around"])
 
     def components(tag: str) -> DataFrame:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(known.toDF("u", "v"))
@@ -549,7 +629,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     opened = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("bare").alias("any_bare")).where("lo <> hi or any_bare").select("bucket")
     carried = ["bucket", "id", "place", "comp", "bare"]
     left = scratch.save(members.join(opened, "bucket", "left_semi").select(*carried), "opened")
-    around = spoken(left, carried).mapInArrow(surroundings, "bucket bigint, id bigint, place bigint, comp bigint, bare boolean, around binary").where("around is not null")
+    # a document's cells are bounded by its length
+    each = left.groupBy("id").agg(F.collect_list(F.struct(*(c for c in carried if c != "id"))).alias("cells"))
+    around = spoken(each, ["id", "cells"]).mapInArrow(surroundings, "id bigint, bucket bigint, place bigint, comp bigint, bare boolean, around binary")
     dealt = bucket_blocks(scratch.save(around, "around"), BLOCK).select("block", "own", "id", "comp", "bare", "place", "around")
     sifted = scratch.save(dealt.mapInArrow(_sift(t), f"a bigint, b bigint, shared {SHARED}"), "sifted")
     verify(sifted.select("a", "b"), ROUNDS)
