@@ -5,9 +5,10 @@ import hashlib
 import json
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,6 +452,51 @@ def test_passages_with_a_wide_gap_are_linked(spark, old, new):
         assert {r.doc_id: r.class_id for r in passages.repeats(table(spark, texts)).collect()} == {0: 0, 1: 0}
 
 
+def test_a_common_line_that_is_too_short_leads_to_no_alignment(monkeypatch):
+    """Members of a bucket that have a line of 45 words in common, and no passage, are neither aligned nor put out; those of a passage are."""
+    rng, aligned, t = random.Random(40), [], passages.LEAST_WORDS - passages.WIDTH + 1
+    line, passage = sentences(rng, 1, 45)[0], sentences(rng, 1, 10)[0]
+    rows = []
+    for i, (a, b) in enumerate(zip(sentences(rng, 40, 60), sentences(rng, 40, 60))):
+        tokens = passages.text_tokens(f"{a} {line} {passage if i < 2 else ''} {b}")[1]
+        place = 65 << 8
+        rows.append([{"bucket": 0, "i": 0, "j": 0}, 0, i, i, True, place, tokens[passages._begin(place, t) : 65 + passages.SEED + t].tobytes()])
+    block = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["block", "own", "id", "comp", "bare", "place", "around"])
+    align = passages.align
+    monkeypatch.setattr(passages, "align", lambda a, b, t: aligned.append(1) or align(a, b, t))
+    out = [pair for x in passages._sift(t)(iter([block])) for pair in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert set(out) == {(0, 1)} and len(aligned) <= 2
+
+
+def test_texts_that_may_share_are_all_that_share():
+    """No pair in which either direction aligns a passage is passed over, tokens that repeat included."""
+    rng, found, passed = np.random.default_rng(41), 0, 0
+    for _ in range(1500):
+        kinds = int(rng.choice([1, 2, 5, 30, 10**6]))
+        x = rng.integers(1, kinds + 1, int(rng.integers(20, 160))).astype(np.uint64)
+        y = x.copy()
+        for _ in range(int(rng.integers(0, 9))):
+            i = int(rng.integers(0, len(y) + 1))
+            y = np.concatenate([y[:i], rng.integers(1, kinds + 2, int(rng.integers(0, 9))).astype(np.uint64), y[i + int(rng.integers(0, 9)) :]])
+        shared = bool(passages.align_both(x, y, 46))
+        may = passages.Sought(x).may_share(y, 46)
+        assert may or not shared
+        found, passed = found + shared, passed + (not may)
+    assert found > 300 and passed > 300
+
+
+def test_blocks_of_active_rows(spark):
+    """Every two rows of a bucket of which one is active meet in one block; idle ones are dealt for the active ones alone."""
+    rows = [(b, i, i % 10 == 0 or b == 2) for b, n in ((1, 100), (2, 20), (3, 1)) for i in range(n)]
+    dealt = components.bucket_blocks(spark.createDataFrame(rows, "bucket bigint, id bigint, active boolean"), 10, "active").collect()
+    blocks = defaultdict(list)
+    for r in dealt:
+        blocks[tuple(r.block)].append(r)
+    met = Counter((k[0], min(x.id, y.id), max(x.id, y.id)) for k, rs in blocks.items() for x in rs for y in rs if x.id < y.id and (x.own != y.own or k[1] == k[2]))
+    expected = {(b, x, y) for b, x, p in rows for c, y, q in rows if b == c and x < y and (p or q)}
+    assert expected <= set(met) and all(met[x] == 1 for x in expected) and len(dealt) < 300
+
+
 def test_cells_against_brute_force():
     """Every sequence lies in the one cell of its signature: the least token of each function and how far they are apart."""
     rng = np.random.default_rng(9)

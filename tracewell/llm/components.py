@@ -94,16 +94,23 @@ def hub_blocks(scratch: Scratch, meets: DataFrame, held: DataFrame, payload: str
     return side(meets, "o", "h").cogroup(side(held, "h", "o"))
 
 
-def bucket_blocks(opened: DataFrame, size: int) -> DataFrame:
+def bucket_blocks(opened: DataFrame, size: int, active: str | None = None) -> DataFrame:
     """``opened`` dealt and sorted so that rows of equal ``block`` (bucket, i, j) follow each other: at most about two blocks of ``size`` rows of a bucket, with ``own``, the row's block.
 
-    Every two rows of a bucket are together in the group of their two blocks.
+    Every two rows of a bucket are together in the group of their two blocks; given the boolean column ``active``, every two of which one is active.
     """
-    counts = opened.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
-    rows = opened.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = lambda held: F.ceil(held / size).cast("int")
+    if active is None:
+        counts = opened.groupBy("bucket").agg(blocks(F.count(F.lit(1))).alias("blocks"))
+        own, reach = F.pmod(F.xxhash64("id"), F.col("blocks")), F.col("blocks")
+    else:
+        counts = opened.groupBy("bucket").agg(blocks(F.count_if(active)).alias("blocks"), blocks(F.count_if(~F.col(active))).alias("idle")).where("blocks > 0")
+        own = F.when(F.col(active), F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1)))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("id"), F.greatest("idle", F.lit(1))))
+        reach = F.when(F.col(active), F.col("blocks") + F.col("idle")).otherwise(F.col("blocks"))
+    rows = opened.join(counts, "bucket").withColumn("own", own.cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1)))
     block = F.struct("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return rows.withColumn("block", block).drop("other", "blocks").repartition("block").sortWithinPartitions("block")
+    return rows.withColumn("block", block).drop("other", "blocks", "idle").repartition("block").sortWithinPartitions("block")
 
 
 def resolve(

@@ -627,12 +627,15 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     members = chosen.join(components("contract-0"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     members = scratch.save(members.join(bare, ["bucket", "id"], "left").withColumns({"bare": F.coalesce("bare", F.lit(False)), "place": F.coalesce("open", "place")}).drop("open"), "members")
     opened = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("bare").alias("any_bare")).where("lo <> hi or any_bare").select("bucket")
-    carried = ["bucket", "id", "place", "comp", "bare"]
-    left = scratch.save(members.join(opened, "bucket", "left_semi").select(*carried), "opened")
+    left = scratch.save(members.join(opened, "bucket", "left_semi"), "opened")
+    # members of the largest component that lie in a passage are compared with the others, not with each other
+    hubs = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("hub"))
+    carried = ["bucket", "id", "place", "comp", "bare", "active"]
+    left = left.join(hubs, "bucket").withColumn("active", F.col("bare") | (F.col("comp") != F.col("hub"))).select(*carried)
     # a document's cells are bounded by its length
     each = left.groupBy("id").agg(F.collect_list(F.struct(*(c for c in carried if c != "id"))).alias("cells"))
-    around = spoken(each, ["id", "cells"]).mapInArrow(surroundings, "id bigint, bucket bigint, place bigint, comp bigint, bare boolean, around binary")
-    dealt = bucket_blocks(scratch.save(around, "around"), BLOCK).select("block", "own", "id", "comp", "bare", "place", "around")
+    around = spoken(each, ["id", "cells"]).mapInArrow(surroundings, "id bigint, bucket bigint, place bigint, comp bigint, bare boolean, active boolean, around binary")
+    dealt = bucket_blocks(scratch.save(around, "around"), BLOCK, "active").select("block", "own", "id", "comp", "bare", "place", "around")
     sifted = scratch.save(dealt.mapInArrow(_sift(t), f"a bigint, b bigint, shared {SHARED}"), "sifted")
     verify(sifted.select("a", "b"), ROUNDS)
     links = links.unionByName(sifted.where(F.size("shared") > 0))
